@@ -1,3 +1,117 @@
-"""Registered queries (describe)."""
+"""Registered descriptive queries (counts, distributions, amplifiers)."""
 
-from vigil.plans.registry import query  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vigil.operators import descriptive as D
+from vigil.plans.registry import query
+from vigil.plans.sql_bindings import ARTICLES, INCIDENTS
+from vigil.sources import bindings as B
+
+_W = f"with inc as ({INCIDENTS})"
+
+
+def _inc(spark, sf):
+    return B.incidents(spark, sf)
+
+
+@query("total_incidents", f"{_W} select count(*) as total_incidents from inc")
+def q_total(spark, sf):
+    return D.total_incidents(_inc(spark, sf))
+
+
+@query("by_category", f"{_W} select category, count(*) as n from inc where category is not null group by category")
+def q_by_category(spark, sf):
+    return D.count_by(_inc(spark, sf), "category")
+
+
+@query("top_locations", f"""{_W} select location_name, count(*) as n from inc
+where location_name is not null group by location_name order by n desc, location_name asc limit 10""")
+def q_top_locations(spark, sf):
+    return D.top_k(_inc(spark, sf), "location_name", 10)
+
+
+@query("hourly_distribution", f"{_W} select cast(hour(date) as integer) as hour, count(*) as n from inc where date is not null group by 1")
+def q_hourly(spark, sf):
+    return D.hourly_distribution(_inc(spark, sf))
+
+
+@query("daily_distribution", f"""{_W} select dayname(date) as day, cast(isodow(date) - 1 as integer) as weekday,
+count(*) as n from inc where date is not null group by 1, 2""")
+def q_daily(spark, sf):
+    return D.daily_distribution(_inc(spark, sf))
+
+
+@query("date_parts", f"""{_W} select incident_id, cast(hour(date) as integer) as hour, dayname(date) as day,
+cast(isodow(date) - 1 as integer) as day_of_week, cast(month(date) as integer) as month from inc""")
+def q_date_parts(spark, sf):
+    return D.date_parts(_inc(spark, sf))
+
+
+_SUMMARY_SQL = f"""{_W}, b as (select category, location_name as place, cast(hour(date) as integer) as hour,
+                   dayname(date) as day from inc)
+select 'total_incidents' as section, cast(null as varchar) as key, count(*) as n from b
+union all select 'by_category', category, count(*) from b where category is not null group by category
+union all (select 'top_locations', place, count(*) from b where place is not null group by place
+           order by count(*) desc, place asc limit 10)
+union all select 'hourly_distribution', cast(hour as varchar), count(*) from b where hour is not null group by hour
+union all select 'daily_distribution', day, count(*) from b where day is not null group by day"""
+
+
+@query("analysis_summary", _SUMMARY_SQL)
+def q_summary(spark, sf):
+    return D.analysis_summary(_inc(spark, sf))
+
+
+@query("hourly_risk", f"""{_W}, c as (select cast(hour(date) as integer) as hour, count(*) as n from inc
+where date is not null group by 1)
+select cast(hour as varchar) as key, n as incident_count, n*1e0/(select max(n) from c) as risk_score from c""")
+def q_hourly_risk(spark, sf):
+    return D.hourly_risk(_inc(spark, sf))
+
+
+@query("daily_risk", f"""{_W}, c as (select dayname(date) as day, count(*) as n from inc
+where date is not null group by 1)
+select day as key, n as incident_count, n*1e0/(select max(n) from c) as risk_score from c""")
+def q_daily_risk(spark, sf):
+    return D.daily_risk(_inc(spark, sf))
+
+
+@query("location_risk", f"""{_W}, c as (select location_name as place, count(*) as n from inc
+where location_name is not null group by 1)
+select place as key, n as incident_count, n*1e0/(select max(n) from c) as risk_score from c""")
+def q_location_risk(spark, sf):
+    return D.location_risk(_inc(spark, sf))
+
+
+@query("category_share", f"""{_W} select category, count(*) as incident_count,
+round_even(count(*)*1e0/(select count(*) from inc)*100e0, 0)/100e0 as share
+from inc where category is not null group by category""")
+def q_category_share(spark, sf):
+    return D.category_share(_inc(spark, sf))
+
+
+_AMP_SQL = f"""{_W},
+h as (select cast(cast(hour(date) as integer) as varchar) as key, count(*) as n from inc where date is not null group by 1),
+d as (select dayname(date) as key, count(*) as n from inc where date is not null group by 1),
+l as (select location_name as key, count(*) as n from inc where location_name is not null group by 1),
+c as (select category as key, count(*) as n from inc where category is not null group by 1)
+select 'hourly' as dimension, key, n as incident_count, n*1e0/(select max(n) from h) as risk_score from h
+union all select 'daily', key, n, n*1e0/(select max(n) from d) from d
+union all select 'location', key, n, n*1e0/(select max(n) from l) from l
+union all select 'category', key, n, round_even(n*1e0/(select count(*) from inc)*100e0, 0)/100e0 from c"""
+
+
+@query("risk_amplifiers", _AMP_SQL)
+def q_risk_amplifiers(spark, sf):
+    return D.risk_amplifiers(_inc(spark, sf))
+
+
+@query("fill_defaults", f"""with a as ({ARTICLES})
+select article_id, title, coalesce(description, 'No description available') as description,
+       coalesce(source_name, 'Unknown Source') as source from a""")
+def q_fill_defaults(spark, sf):
+    a = B.articles(spark, sf).select("article_id", "title", "description",
+                                     F.col("source.name").alias("source"))
+    return D.fill_defaults(a)
