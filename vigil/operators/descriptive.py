@@ -14,17 +14,17 @@ from vigil import fixed_values as FV
 from vigil.functions import temporal as T
 from vigil.functions.numeric import round_half_even
 
-_ONE = F.lit(1)
+
 
 
 def total_incidents(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(_ONE).alias("total_incidents"))
+    return df.agg(F.count("*").alias("total_incidents"))
 
 
 def count_by(df: DataFrame, col: str, alias: str | None = None) -> DataFrame:
     """Count of non-null values of ``col`` (value_counts semantics)."""
     return (df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias(alias or col))
-            .agg(F.count(_ONE).alias("n")))
+            .agg(F.count("*").alias("n")))
 
 
 def top_k(df: DataFrame, col: str, k: int = 10, alias: str | None = None) -> DataFrame:
@@ -35,14 +35,14 @@ def top_k(df: DataFrame, col: str, k: int = 10, alias: str | None = None) -> Dat
 
 def hourly_distribution(df: DataFrame, ts: str = "date") -> DataFrame:
     return (df.filter(F.col(ts).isNotNull()).groupBy(T.hour_of(ts).alias("hour"))
-            .agg(F.count(_ONE).alias("n")))
+            .agg(F.count("*").alias("n")))
 
 
 def daily_distribution(df: DataFrame, ts: str = "date") -> DataFrame:
     """Counts per weekday name, with the Monday=0 index as calendar sort key."""
     return (df.filter(F.col(ts).isNotNull())
             .groupBy(T.weekday_name(ts).alias("day"), T.weekday_index(ts).alias("weekday"))
-            .agg(F.count(_ONE).alias("n")))
+            .agg(F.count("*").alias("n")))
 
 
 def date_parts(df: DataFrame, ts: str = "date", id_col: str = "incident_id") -> DataFrame:
@@ -63,7 +63,7 @@ def section_counts(df: DataFrame, *, ts: str | None = "date", category: str | No
                      (T.weekday_name(ts) if ts in cols else none).alias("day"))
     gs = (base.groupingSets([[], ["category"], ["place"], ["hour"], ["day"]],
                             "category", "place", "hour", "day")
-          .agg(F.count(_ONE).alias("n"), F.grouping_id().alias("gid")))
+          .agg(F.count("*").alias("n"), F.grouping_id().alias("gid")))
     # grouping_id bits (category, place, hour, day): 1 = column aggregated away
     section = (F.when(F.col("gid") == 15, "total")
                .when(F.col("gid") == 7, "category")
@@ -130,7 +130,7 @@ def location_risk(df: DataFrame, place: str = "location_name") -> DataFrame:
 
 def category_share(df: DataFrame, category: str = "category") -> DataFrame:
     """Share of all incidents per category, numpy-rounded to 2 places."""
-    total = df.agg(F.count(_ONE)).scalar()
+    total = df.agg(F.count("*")).scalar()
     return count_by(df, category, "category").select(
         "category", F.col("n").alias("incident_count"),
         round_half_even(F.col("n") / total, 2).alias("share"))
