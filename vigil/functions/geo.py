@@ -13,8 +13,11 @@ def _c(x) -> Column:
 
 
 def euclidean(lat1, lon1, lat2, lon2) -> Column:
-    """Planar distance in degrees (the validation rule's metric)."""
-    return F.sqrt(F.pow(_c(lat1) - _c(lat2), 2) + F.pow(_c(lon1) - _c(lon2), 2))
+    """Planar distance in degrees (the validation rule's metric).
+
+    Squares are plain products (correctly rounded), not ``pow``."""
+    dy, dx = _c(lat1) - _c(lat2), _c(lon1) - _c(lon2)
+    return F.sqrt(dy * dy + dx * dx)
 
 
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
