@@ -35,8 +35,14 @@ def _category_of(event_type: Column) -> Column:
 def incidents(spark: SparkSession, sf_dir: str, with_source: bool = True) -> DataFrame:
     """Incident table: one row per event, geocoded on a 500×500 lattice."""
     e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
+    return incidents_from(e, read_table(spark, sf_dir, "nation", "n_nationkey", "n_name"),
+                          with_source=with_source)
+
+
+def incidents_from(e: DataFrame, nation: DataFrame, with_source: bool = True) -> DataFrame:
+    """Incident rows from an events frame (batch or stream) and nation."""
     # nation is the fixed 25-row TPC-H dimension: a proven broadcast bound.
-    n = F.broadcast(read_table(spark, sf_dir, "nation", "n_nationkey", "n_name"))
+    n = F.broadcast(nation)
     lat = F.lit(40.0) + ((F.col("user_id") * 7919 + (F.col("event_id") % 5) * 13) % 500) / F.lit(1021.0)
     lon = (((F.col("user_id") * 104729 + (F.col("event_id") % 3) * 29) % 500) - 250) / F.lit(1021.0)
     cols = [F.col("event_id").alias("incident_id"),
