@@ -41,7 +41,8 @@ def parse_region_form(df: DataFrame, regions_text: str = "regions_text",
                       weights_text: str = "weights_text") -> DataFrame:
     """Split newline lists, trim, drop blanks, weights to double; ``valid``
     when both lists have the same length (unequal forms are rejected)."""
-    clean = lambda c: F.filter(F.transform(F.split(F.col(c), "\n"), F.trim), lambda x: x != "")
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    clean = lambda c: F.filter(F.transform(F.split(F.col(c), "\n"), strip), lambda x: x != "")
     regions = clean(regions_text)
     weights = F.transform(clean(weights_text), lambda x: x.cast("double"))
     return df.select("*", regions.alias("similar_regions"), weights.alias("weights")) \
