@@ -6,7 +6,7 @@ Location extraction is a Spark job over sentences and tokens:
 1. sentences of ``title description`` (split after . ! ?), keeping those that
    contain a crime keyword, with their index;
 2. (a) pattern candidates: the first capture of each ordered location
-   pattern, tokenised; its token n-grams equi-join the gazetteer;
+   pattern, tokenised; its tokens equi-join the gazetteer words;
 3. (b) proximity candidates: a place token strictly closer than ``max_gap``
    tokens to a keyword token. Every keyword position is exploded into the
    band of positions around it and equi-joined with the place tokens, so no
@@ -14,8 +14,8 @@ Location extraction is a Spark job over sentences and tokens:
 4. per article the candidate with the smallest
    ``(sentence, rule, pattern, token position)`` wins (``min_by``).
 
-Place names match as whole token n-grams (up to ``max_words`` tokens),
-case-insensitively.
+Place names match as whole consecutive word tokens (any length),
+case-insensitively, through an equi-join of tokens with gazetteer words.
 """
 
 from __future__ import annotations
@@ -82,57 +82,67 @@ def location_phrases(sents: DataFrame, patterns: list[str] = FV.LOCATION_PATTERN
 
 
 def gazetteer_keys(gazetteer: DataFrame, place: str = "place") -> DataFrame:
-    return gazetteer.select(F.col(place).alias("place"),
-                            X.normalise_name(F.col(place)).alias("gram"))
+    """``place, k, word, n_words``: the normalised words of every name."""
+    words = F.filter(X.tokens(F.col(place)), lambda t: t != "")
+    return (gazetteer.select(F.col(place).alias("place"), F.size(words).alias("n_words"),
+                             F.posexplode(words).alias("k", "word")))
 
 
-def _grams(df: DataFrame, text_col: str, keep: list[str], max_words: int) -> DataFrame:
-    """``keep..., pos, gram`` for all 1..max_words token n-grams of a text."""
-    tok = X.tokens(F.col(text_col))
-    arrays = [F.when(F.size(tok) >= n, X.ngrams(tok, n)) for n in range(1, max_words + 1)]
-    allg = F.flatten(F.array(*[F.coalesce(a, F.array().cast("array<struct<pos:int,gram:string>>"))
-                               for a in arrays]))
-    return (df.select(*keep, F.explode(allg).alias("g"))
-            .select(*keep, F.col("g.pos").alias("pos"), F.col("g.gram").alias("gram"))
-            .filter(F.col("gram") != ""))
+def _token_rows(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """``keep..., pos, tok`` for every non-empty lower-case word token."""
+    return (df.select(*keep, F.posexplode(X.tokens(F.col(text_col))).alias("pos", "tok"))
+            .filter(F.col("tok") != ""))
+
+
+def _place_hits(tokens: DataFrame, gaz: DataFrame, keep: list[str]) -> DataFrame:
+    """Places whose words appear consecutively: ``keep..., pos, place``.
+
+    Every token equi-joins the gazetteer words; a token at ``pos`` matching
+    word ``k`` of a name votes for a start at ``pos - k``; a start is a match
+    when all ``n_words`` words voted. No n-grams are materialised and only
+    tokens that are gazetteer words survive the join.
+    """
+    votes = (tokens.join(gaz, tokens["tok"] == gaz["word"])
+             .select(*keep, (F.col("pos") - F.col("k")).alias("start"), "place", "n_words"))
+    return (votes.groupBy(*keep, "start", "place", "n_words").agg(F.count("*").alias("_m"))
+            .filter(F.col("_m") == F.col("n_words"))
+            .select(*keep, F.col("start").alias("pos"), "place"))
 
 
 def pattern_candidates(sents: DataFrame, gaz: DataFrame, *, patterns=FV.LOCATION_PATTERNS,
-                       max_words: int = 3, id_col: str = "article_id") -> DataFrame:
+                       id_col: str = "article_id") -> DataFrame:
     """Rule (a): places found inside a pattern capture."""
-    ph = location_phrases(sents, patterns, id_col)
-    g = _grams(ph, "phrase", [id_col, "s_idx", "p_idx"], max_words)
-    return (g.join(gaz, "gram")
+    keep = [id_col, "s_idx", "p_idx"]
+    toks = _token_rows(location_phrases(sents, patterns, id_col), "phrase", keep)
+    return (_place_hits(toks, gaz, keep)
             .select(id_col, "s_idx", F.lit(0).alias("rule"), "p_idx", "pos", "place"))
 
 
 def proximity_candidates(sents: DataFrame, gaz: DataFrame, keywords: list[str], *,
-                         max_gap: int = FV.KEYWORD_MAX_GAP, max_words: int = 3,
-                         id_col: str = "article_id") -> DataFrame:
+                         max_gap: int = FV.KEYWORD_MAX_GAP, id_col: str = "article_id") -> DataFrame:
     """Rule (b): a place starting strictly closer than ``max_gap`` tokens
     to a keyword token of the same sentence (band equi-join)."""
+    keep = [id_col, "s_idx"]
+    toks = _token_rows(sents, "sentence", keep)
     kw = F.array(*[F.lit(k.lower()) for k in keywords])
-    toks = sents.select(id_col, "s_idx", F.posexplode(X.tokens("sentence")).alias("kpos", "tok"))
     band = (toks.filter(F.array_contains(kw, F.col("tok")))
-            .select(id_col, "s_idx", F.explode(F.sequence(F.col("kpos") - (max_gap - 1),
-                                                          F.col("kpos") + (max_gap - 1))).alias("pos"))
+            .select(*keep, F.explode(F.sequence(F.col("pos") - (max_gap - 1),
+                                                F.col("pos") + (max_gap - 1))).alias("pos"))
             .distinct())
-    places = _grams(sents, "sentence", [id_col, "s_idx"], max_words).join(gaz, "gram")
-    return (places.join(band, [id_col, "s_idx", "pos"], "left_semi")
+    return (_place_hits(toks, gaz, keep).join(band, [*keep, "pos"], "left_semi")
             .select(id_col, "s_idx", F.lit(1).alias("rule"), F.lit(0).alias("p_idx"), "pos", "place"))
 
 
 def location_extract(articles: DataFrame, gazetteer: DataFrame, keywords: list[str], *,
                      patterns=FV.LOCATION_PATTERNS, max_gap: int = FV.KEYWORD_MAX_GAP,
-                     max_words: int = 3, id_col: str = "article_id") -> DataFrame:
+                     id_col: str = "article_id") -> DataFrame:
     """``article_id, location_name`` for articles whose crime sentences yield
     a place (pattern hits first, then keyword proximity, sentence by
     sentence)."""
     sents = crime_sentences(articles, keywords, id_col)
     gaz = gazetteer_keys(gazetteer)
-    cands = pattern_candidates(sents, gaz, patterns=patterns, max_words=max_words, id_col=id_col) \
-        .unionByName(proximity_candidates(sents, gaz, keywords, max_gap=max_gap,
-                                          max_words=max_words, id_col=id_col))
+    cands = pattern_candidates(sents, gaz, patterns=patterns, id_col=id_col) \
+        .unionByName(proximity_candidates(sents, gaz, keywords, max_gap=max_gap, id_col=id_col))
     return (cands.groupBy(id_col)
             .agg(F.min_by("place", F.struct("s_idx", "rule", "p_idx", "pos", "place"))
                  .alias("location_name")))

@@ -60,11 +60,13 @@ def hit_flags(points: DataFrame, targets: DataFrame, *, max_dist: float = FV.HIT
     """All points plus ``hit`` boolean, in one pass (EXISTS → existence join)."""
     t = _neighbourhood(targets.select(F.col(t_lat).alias("_tlat"), F.col(t_lon).alias("_tlon")),
                        "_tlat", "_tlon", max_dist)
-    p = _bucketed(points, lat, lon, max_dist)
-    probe = t.where((F.col("_bi") == F.col("_bi").outer()) & (F.col("_bj") == F.col("_bj").outer())
+    p = (points.withColumn("_pbi", floor_bin(lat, max_dist))
+         .withColumn("_pbj", floor_bin(lon, max_dist)))
+    # distinct names on the two sides so the correlation binds to the outer row
+    probe = t.where((F.col("_bi") == F.col("_pbi").outer()) & (F.col("_bj") == F.col("_pbj").outer())
                     & (euclidean(F.col(lat).outer(), F.col(lon).outer(), F.col("_tlat"),
                                  F.col("_tlon")) < F.lit(max_dist)))
-    return p.withColumn("hit", probe.exists()).drop("_bi", "_bj")
+    return p.withColumn("hit", probe.exists()).drop("_pbi", "_pbj")
 
 
 def _levels(points: DataFrame, targets: DataFrame, lat, lon, t_lat, t_lon, base: float) -> int:
@@ -93,23 +95,34 @@ def nearest(points: DataFrame, targets: DataFrame, *, id_col: str = "incident_id
     neighbourhood can be closer). Points not yet final move on to the next
     level; at the last level the bucket spans the union of both bounding
     boxes, so every remaining point is final. Ties go to the smaller id.
+
+    An iterative job: the unresolved points of each level are checkpointed
+    to the shared folder, so each level plans and runs on a short lineage,
+    and the loop stops as soon as no point is left.
     """
     pts = points.filter(valid_point(lat, lon)).select(id_col, lat, lon)
     tgt = targets.select(target_id, F.col(t_lat).alias("_tlat"), F.col(t_lon).alias("_tlon"))
-    levels = _levels(pts, targets, lat, lon, t_lat, t_lon, base)
-    done = None
-    todo = pts
+    tgt = tgt.filter(valid_point("_tlat", "_tlon")).checkpoint(eager=True)
+    levels = _levels(pts, tgt, lat, lon, "_tlat", "_tlon", base)
+    done = []
+    todo = pts.checkpoint(eager=True)
     for k in range(levels):
         size = base * (2 ** k)
         t = _neighbourhood(tgt, "_tlat", "_tlon", size)
         p = _bucketed(todo, lat, lon, size)
-        cand = (p.join(t, ["_bi", "_bj"])
+        best = (p.join(t, ["_bi", "_bj"])
                 .withColumn("dist", euclidean(lat, lon, "_tlat", "_tlon"))
                 .groupBy(id_col)
-                .agg(F.min_by(F.struct("dist", target_id), F.struct("dist", target_id)).alias("m")))
-        best = cand.select(id_col, F.col(f"m.{target_id}").alias(target_id), F.col("m.dist").alias("dist"))
-        final = best if k == levels - 1 else best.filter(F.col("dist") <= F.lit(size))
-        done = final if done is None else done.unionByName(final)
-        if k < levels - 1:
-            todo = todo.join(final.select(id_col), id_col, "left_anti")
-    return done
+                .agg(F.min_by(F.struct("dist", target_id), F.struct("dist", target_id)).alias("m"))
+                .select(id_col, F.col(f"m.{target_id}").alias(target_id), F.col("m.dist").alias("dist")))
+        final = (best if k == levels - 1 else best.filter(F.col("dist") <= F.lit(size))).checkpoint(eager=True)
+        done.append(final)
+        if k == levels - 1:
+            break
+        todo = todo.join(final.select(id_col), id_col, "left_anti").checkpoint(eager=True)
+        if todo.isEmpty():
+            break
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
