@@ -170,13 +170,15 @@ def intervention_results(follow_up: DataFrame) -> DataFrame:
 
 def follow_up_document(follow_up: DataFrame) -> DataFrame:
     """Nested form ``hotspot_id, interventions map<id, struct<type,
-    follow_up_data>>`` (the map per hotspot is that hotspot's records)."""
-    entry = F.struct(F.col("record_id").cast("string").alias("k"),
+    follow_up_data>>``, emitted as one fragment per record: the document of
+    a hotspot is the union of its fragments, so no hotspot's records are ever
+    gathered into one row or one task."""
+    return follow_up.select(
+        "hotspot_id",
+        F.create_map(F.col("record_id").cast("string"),
                      F.struct(F.col("intervention_type").alias("type"),
-                              F.struct("before_incidents", "after_incidents").alias("follow_up_data"))
-                     .alias("v"))
-    return (follow_up.groupBy("hotspot_id")
-            .agg(F.map_from_entries(F.collect_list(entry)).alias("interventions")))
+                              F.struct("before_incidents", "after_incidents").alias("follow_up_data")))
+        .alias("interventions"))
 
 
 def explode_follow_up(doc: DataFrame) -> DataFrame:

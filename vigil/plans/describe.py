@@ -115,3 +115,10 @@ def q_fill_defaults(spark, sf):
     a = B.articles(spark, sf).select("article_id", "title", "description",
                                      F.col("source.name").alias("source"))
     return D.fill_defaults(a)
+
+
+@query("analysis_json")
+def q_analysis_json(spark, sf):
+    """JSON-edge document of the summary (int keys become strings)."""
+    doc = D.summary_document(D.analysis_summary(_inc(spark, sf)))
+    return doc.select(F.to_json(F.struct(*doc.columns)).alias("analysis_json"))

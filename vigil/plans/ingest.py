@@ -191,3 +191,15 @@ def q_ingest_counters(spark, sf):
 from win w left join loc l on l.article_id = w.article_id""")
 def q_relevance(spark, sf):
     return X.relevance_tag(_en(spark, sf), B.gazetteer(spark), KEYWORDS)
+
+
+@query("incident_projection", f"""with {_EN} select f.article_id, strftime(w.published_at, '%Y-%m-%d') as date,
+w.title, w.description, f.category, l.location_name, g.latitude, g.longitude, coalesce(w.source_name, 'Unknown') as source
+from fan f join loc l on l.article_id = f.article_id join gaz g on g.gram = lower(l.location_name)
+join win w on w.article_id = f.article_id""")
+def q_incident_projection(spark, sf):
+    en = _en(spark, sf)
+    loc = X.location_extract(en, B.gazetteer(spark), KEYWORDS)
+    fan = X.category_fanout(en, TERMS)
+    inc = X.incident_projection(X.geocode(fan.join(loc, "article_id"), B.gazetteer(spark), how="inner"))
+    return inc.withColumn("date", F.date_format("date", "yyyy-MM-dd"))

@@ -192,3 +192,18 @@ def q_intervention_score(spark, sf):
 @query("recommendations_nested")
 def q_recommendations_nested(spark, sf):
     return I.recommendations_nested(_recs(spark, sf))
+
+
+@query("peak_hours", f"with {_RECS_CTES} select coalesce(s, '') as peak_hours from ph")
+def q_peak_hours(spark, sf):
+    amp = D.risk_amplifiers(_inc(spark, sf))
+    hot = amp.filter((F.col("dimension") == "hourly") & (F.col("risk_score") > 0.7))
+    return hot.agg(F.array_join(F.array_sort(F.collect_list(F.col("key").cast("int"))).cast("array<string>"), ", ")
+                   .alias("peak_hours"))
+
+
+@query("peak_days", f"with {_RECS_CTES} select coalesce(s, '') as peak_days from pd")
+def q_peak_days(spark, sf):
+    amp = D.risk_amplifiers(_inc(spark, sf))
+    hot = amp.filter((F.col("dimension") == "daily") & (F.col("risk_score") > 0.7))
+    return hot.agg(F.array_join(F.array_sort(F.collect_list("key")), ", ").alias("peak_days"))

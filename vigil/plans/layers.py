@@ -111,3 +111,14 @@ select h.hotspot_id, h.location, h.risk_score,
 def q_hotspot_table(spark, sf):
     hs, types = _hs(spark, sf)
     return L.hotspot_table(hs, types)
+
+
+@query("marker_layer", f"""{_HS} select hotspot_id, lat, lon,
+  case when risk_score >= 0.7e0 then 'red' when risk_score >= 0.4e0 then 'orange' else 'green' end as colour,
+  risk_score*20 as radius, greatest(5e0, risk_score*100e0/5) as bubble_radius from hs""")
+def q_marker_layer(spark, sf):
+    hs = _hs(spark, sf)[0]
+    band = I.risk_band("risk_score")
+    return hs.select("hotspot_id", "lat", "lon", L.band_colour(band).alias("colour"),
+                     (F.col("risk_score") * 20).alias("radius"),
+                     F.greatest(F.lit(5.0), F.col("risk_score") * 100 / 5).alias("bubble_radius"))
