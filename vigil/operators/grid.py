@@ -8,16 +8,20 @@ and describes every hot cell by its modal place and category shares.
 Only occupied cells ever exist here: the lattice is never materialised, so the
 cost is bounded by the number of incidents, not by the extent of the map.
 
-Plan shape (one scan of the incident table):
+Job shape (the raw incidents are read twice, narrowly: min/max, then the
+aggregate):
 
-1. extent — a one-row aggregate used as a scalar subquery (no join);
+1. extent — a one-row min/max aggregate fetched to the driver and used as
+   literals (``assign_cells`` also accepts a lazy extent frame, read through
+   a scalar subquery);
 2. ``(i, j, place, category) -> n`` — hash aggregate with map-side partial
    aggregation, so a cell holding a third of all rows still ships one row per
-   (map task, place, category);
-3. the aggregated rows are hash-partitioned once on ``(i, j)``; cell totals,
-   modal place and shares are then computed without another exchange;
-4. threshold and max — one-row scalar subquery over the cell totals
-   (``percentile`` keeps a value→frequency map, bounded by distinct counts).
+   (map task, place, category); the aggregated rows are hash-partitioned once
+   on ``(i, j)`` and checkpointed to the shared folder;
+3. threshold and max — one row from the checkpoint (``percentile`` keeps a
+   value→frequency map, bounded by the distinct counts);
+4. cell totals, modal place and shares from the checkpoint without another
+   exchange of raw data.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 from vigil import fixed_values as FV
 from vigil.functions.geo import valid_point
 from vigil.functions.numeric import round_half_even
+from vigil.session import checkpoint_dir
 
 
 def grid_extent(df: DataFrame, lat: str = "latitude", lon: str = "longitude",
@@ -80,8 +85,24 @@ def _bin(x: Column, ax: Column) -> Column:
     return F.least(k1, n_edges - 2)
 
 
-def _extent_scalar(extent: DataFrame) -> Column:
-    return extent.select(F.struct(*[F.col(c) for c in extent.columns])).scalar()
+_EXTENT_TYPES = {"lat_s": "double", "lat_e1": "double", "lat_d": "double", "lat_n": "bigint",
+                 "lon_s": "double", "lon_e1": "double", "lon_d": "double", "lon_n": "bigint",
+                 "last_day": "date"}
+
+
+def extent_values(df: DataFrame, lat: str = "latitude", lon: str = "longitude",
+                  resolution: float = FV.GRID_RESOLUTION, ts: str | None = None) -> dict:
+    """The one-row extent fetched to the driver (a distributed min/max)."""
+    row = grid_extent(df, lat, lon, resolution, ts=ts).first()
+    return row.asDict()
+
+
+def _extent_scalar(extent) -> Column:
+    """Extent as a struct column: typed literals for fetched values (folded
+    into the plan as constants), or a scalar subquery for a lazy frame."""
+    if isinstance(extent, DataFrame):
+        return extent.select(F.struct(*[F.col(c) for c in extent.columns])).scalar()
+    return F.struct(*[F.lit(v).cast(_EXTENT_TYPES[k]).alias(k) for k, v in extent.items()])
 
 
 def _axis(x: Column, ax: str) -> Column:
@@ -89,7 +110,7 @@ def _axis(x: Column, ax: str) -> Column:
                     x.getField(f"{ax}_d").alias("d"), x.getField(f"{ax}_n").alias("n"))
 
 
-def assign_cells(df: DataFrame, extent: DataFrame, lat: str = "latitude",
+def assign_cells(df: DataFrame, extent, lat: str = "latitude",
                  lon: str = "longitude") -> DataFrame:
     """Add ``i``/``j`` cell indices; rows outside the lattice are dropped.
 
@@ -106,7 +127,7 @@ def assign_cells(df: DataFrame, extent: DataFrame, lat: str = "latitude",
                     _bin(F.col(lon), ax_lon).alias("j")))
 
 
-def cell_centres(cells: DataFrame, extent: DataFrame) -> DataFrame:
+def cell_centres(cells: DataFrame, extent) -> DataFrame:
     """Add ``lat``/``lon`` = midpoint of the cell's edges."""
     x = F.col("_grid")
 
@@ -121,7 +142,7 @@ def cell_centres(cells: DataFrame, extent: DataFrame) -> DataFrame:
 def grid_histogram(df: DataFrame, lat: str = "latitude", lon: str = "longitude",
                    resolution: float = FV.GRID_RESOLUTION) -> DataFrame:
     """Sparse 2-D histogram ``(i, j, n)`` over occupied cells only."""
-    ext = grid_extent(df, lat, lon, resolution)
+    ext = extent_values(df, lat, lon, resolution)
     return (assign_cells(df.select(lat, lon), ext, lat, lon)
             .groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")))
 
@@ -132,7 +153,7 @@ def cell_threshold(cells: DataFrame, pct: float = FV.HOT_PERCENTILE) -> DataFram
                      F.max("n").alias("max_n"))
 
 
-def _cell_place_category_counts(df: DataFrame, extent: DataFrame, lat: str, lon: str,
+def _cell_place_category_counts(df: DataFrame, extent, lat: str, lon: str,
                                 place: str | None, category: str | None) -> DataFrame:
     p = F.col(place) if place else F.lit(None).cast("string")
     c = F.col(category) if category else F.lit(None).cast("string")
@@ -158,18 +179,26 @@ def hotspot_frames(df: DataFrame, *, as_of: str | None = None, days: int = FV.PR
 
     ``as_of`` is the first day of the prediction window; when omitted it is
     the day of the latest incident. ``end = as_of + days``.
+
+    A phased job: (1) the one-row extent is fetched; (2) the incidents are
+    aggregated once to ``(i, j, place, category) -> n``, hash-partitioned on
+    the cell and checkpointed to the shared folder (the raw table is not read
+    again, and the partitioning survives for every per-cell step); (3) the
+    one-row threshold/max is fetched from that aggregate; (4) hot cells,
+    modal place and shares are computed from the checkpoint.
     """
     place = place if place in df.columns else None
     category = category if category in df.columns else None
     ts = ts if ts and ts in df.columns else None
-    extent = grid_extent(df, lat, lon, resolution, ts=ts if as_of is None else None)
-    g = _cell_place_category_counts(df, extent, lat, lon, place, category)
+    checkpoint_dir(df.sparkSession)
+    ext = extent_values(df, lat, lon, resolution, ts=ts if as_of is None else None)
+    g = _cell_place_category_counts(df, ext, lat, lon, place, category).checkpoint(eager=True)
 
     cells = g.groupBy("i", "j").agg(F.sum("n").alias("n"))
-    stats = cell_threshold(cells, pct)
-    hot = (cells.withColumn("_stats", stats.select(F.struct("threshold", "max_n")).scalar())
-           .filter(F.col("n") >= F.col("_stats.threshold"))
-           .select("i", "j", "n", F.col("_stats.max_n").alias("max_n")))
+    stats = cell_threshold(cells, pct).first()
+    thr = F.lit(stats["threshold"]).cast("double")
+    top = F.lit(stats["max_n"]).cast("bigint")
+    hot = cells.filter(F.col("n") >= thr).withColumn("max_n", top)
 
     by_place = (g.filter(F.col("place").isNotNull())
                 .groupBy("i", "j", "place").agg(F.sum("n").alias("pn"))
@@ -180,12 +209,12 @@ def hotspot_frames(df: DataFrame, *, as_of: str | None = None, days: int = FV.PR
               .groupBy("i", "j", "category").agg(F.sum("n").alias("cn")))
 
     if as_of is None:
-        start = extent.select("last_day").scalar() if ts else F.current_date()
+        start = F.lit(ext.get("last_day")).cast("date") if ts else F.current_date()
     else:
         start = F.lit(as_of).cast("date")
     hid = F.concat(F.lit("hotspot_"), F.col("i").cast("string"), F.lit("_"),
                    F.col("j").cast("string"))
-    hot = cell_centres(hot, extent)
+    hot = cell_centres(hot, ext)
     hotspots = (hot.join(by_place, ["i", "j"], "left")
                 .select(hid.alias("hotspot_id"), "i", "j", "n", "lat", "lon",
                         F.coalesce("location", F.lit(FV.UNKNOWN_LOCATION)).alias("location"),
@@ -229,10 +258,11 @@ def hotspot_members(df: DataFrame, *, resolution: float = FV.GRID_RESOLUTION,
                     lon: str = "longitude", id_col: str = "incident_id") -> DataFrame:
     """Incidents that fall in a hot cell: the per-cell range lookup rewritten
     as an equi-join on the computed ``(i, j)``."""
-    extent = grid_extent(df, lat, lon, resolution)
-    cells = assign_cells(df.select(id_col, lat, lon), extent, lat, lon)
+    ext = extent_values(df, lat, lon, resolution)
+    cells = assign_cells(df.select(id_col, lat, lon), ext, lat, lon)
     counts = cells.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
-    hot = counts.filter(F.col("n") >= cell_threshold(counts, pct).select("threshold").scalar())
+    thr = cell_threshold(counts, pct).first()["threshold"]
+    hot = counts.filter(F.col("n") >= F.lit(thr).cast("double"))
     hid = F.concat(F.lit("hotspot_"), F.col("i").cast("string"), F.lit("_"),
                    F.col("j").cast("string"))
     return cells.join(hot, ["i", "j"], "left_semi").select(hid.alias("hotspot_id"), id_col)
