@@ -221,7 +221,7 @@ def accuracy_series(runs: DataFrame, *, order: str = "run_no", value: str = "pre
     so numbering it with an unpartitioned window is bounded.
     """
     w = Window.orderBy(order)
-    return runs.select(F.row_number().over(w).alias("run_number"), order,
+    return runs.select(F.row_number().over(w).cast("bigint").alias("run_number"), order,
                        F.col(value).alias("value"), F.lit(threshold).alias("threshold"),
                        (F.col(value) <= F.lit(threshold)).alias("below_threshold"))
 
@@ -231,7 +231,7 @@ def fpr_series(runs: DataFrame, *, order: str = "run_no",
     """FPR per run (missing = 1.0), threshold and breach flag."""
     w = Window.orderBy(order)
     v = F.coalesce(F.col("false_positive_rate"), F.lit(1.0))
-    return runs.select(F.row_number().over(w).alias("run_number"), order, v.alias("value"),
+    return runs.select(F.row_number().over(w).cast("bigint").alias("run_number"), order, v.alias("value"),
                        F.lit(threshold).alias("threshold"), (v > F.lit(threshold)).alias("breach"))
 
 

@@ -127,17 +127,17 @@ def q_topk(spark, sf):
         "article_id", "category", "relevance")
 
 
-@query("crime_sentences", f"with {_EN} select article_id, s_idx, sentence from sents")
+@query("crime_sentences", f"with {_EN} select article_id, cast(s_idx as integer) as s_idx, sentence from sents")
 def q_crime_sentences(spark, sf):
     return X.crime_sentences(_en(spark, sf), KEYWORDS)
 
 
-@query("location_phrases", f"with {_EN} select article_id, s_idx, p_idx, phrase from phr")
+@query("location_phrases", f"with {_EN} select article_id, cast(s_idx as integer) as s_idx, p_idx, phrase from phr")
 def q_location_phrases(spark, sf):
     return X.location_phrases(X.crime_sentences(_en(spark, sf), KEYWORDS))
 
 
-@query("location_near_keyword", f"with {_EN} select article_id, s_idx, pos, place from near")
+@query("location_near_keyword", f"with {_EN} select article_id, cast(s_idx as integer) as s_idx, cast(pos as integer) as pos, place from near")
 def q_near(spark, sf):
     sents = X.crime_sentences(_en(spark, sf), KEYWORDS)
     c = X.proximity_candidates(sents, X.gazetteer_keys(B.gazetteer(spark)), KEYWORDS)

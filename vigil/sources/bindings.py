@@ -107,7 +107,7 @@ def follow_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly validation runs derived from orders (80 at every scale)."""
     o = read_table(spark, sf_dir, "orders", "o_orderdate", "o_orderstatus", "o_orderpriority")
-    return (o.groupBy((F.year("o_orderdate") * 100 + F.month("o_orderdate")).alias("run_no"))
+    return (o.groupBy((F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("bigint").alias("run_no"))
             .agg((F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)) * 1.0
                   / F.count(F.lit(1))).alias("prediction_accuracy"),
                  (F.sum(F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0)) * 1.0

@@ -183,7 +183,7 @@ def recent_effectiveness_stream(follow_up: DataFrame, n: int = FV.RECENT_RUNS) -
 def validation_history_stream(orders: DataFrame) -> DataFrame:
     """Monthly run metrics maintained incrementally (update mode; the sink
     keeps the newest version of each run)."""
-    return (orders.groupBy((F.year("o_orderdate") * 100 + F.month("o_orderdate")).alias("run_no"))
+    return (orders.groupBy((F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("bigint").alias("run_no"))
             .agg(F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("finished"),
                  F.sum(F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0)).alias("urgent"),
                  F.count("*").alias("n")))
