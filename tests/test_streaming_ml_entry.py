@@ -47,8 +47,9 @@ def test_stateful_last5_matches_batch(spark, tmp_dir):
     path = os.path.join(tmp_dir, "fu")
     df.repartition(4).write.parquet(path)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    got = {r.intervention_type: (r.recent, r.seen) for r in
-           S.run_available(S.recent_effectiveness_stream(stream), name="st6", keys=["intervention_type"]).collect()}
+    out = S.run_available(S.recent_effectiveness_stream(stream, salts=3), name="st6",
+                          keys=["intervention_type", "salt"])
+    got = {r.intervention_type: (r.recent, r.seen) for r in S.merge_recent(out).collect()}
     from vigil.operators import interventions as I
     t = df.withColumn("effectiveness", I.tracker_effectiveness("before_incidents", "after_incidents"))
     exp = {r.intervention_type: r.recent for r in I.latest_recent_effectiveness(t).collect()}

@@ -84,8 +84,8 @@ def q_stream_recent(spark, sf):
                    F.col("o_orderdate").alias("implementation_date"),
                    (F.col("record_id") % 20).alias("before_incidents"),
                    (F.col("o_custkey") % 15).alias("after_incidents"))
-    r = S.run_available(S.recent_effectiveness_stream(fu), name="recent", keys=["intervention_type"])
-    return r.select("intervention_type", F.round("recent", 6).alias("recent"), "seen")
+    r = S.run_available(S.recent_effectiveness_stream(fu), name="recent", keys=["intervention_type", "salt"])
+    return S.merge_recent(r).select("intervention_type", F.round("recent", 6).alias("recent"), "seen")
 
 
 @query("stream_validation_history", f"""with vh as ({VALIDATION_HISTORY}) select run_no,

@@ -142,7 +142,8 @@ def rolling_grid_counts(incidents: DataFrame, *, resolution: float = FV.GRID_RES
 # ---------------------------------------------------------------- ST6
 
 RECENT_STATE = "dates array<bigint>, ids array<bigint>, values array<double>, seen bigint"
-RECENT_OUT = "intervention_type string, recent double, seen long"
+RECENT_OUT = ("intervention_type string, salt int, dates array<bigint>, ids array<bigint>, "
+              "values array<double>, seen long")
 
 
 def _recent_fn(n: int):
@@ -160,24 +161,44 @@ def _recent_fn(n: int):
             # keep only the n latest (date, id) seen so far: bounded state,
             # independent of arrival order inside and across chunks
             keep = pd.concat([keep, part]).sort_values(["d", "i"]).tail(n)
-        state.update((keep["d"].astype("int64").tolist(), keep["i"].astype("int64").tolist(),
-                      keep["v"].astype("float64").tolist(), int(seen)))
-        yield pd.DataFrame({"intervention_type": [key[0]], "recent": [float(keep["v"].mean())],
-                            "seen": [seen]})
+        d, i, v = (keep["d"].astype("int64").tolist(), keep["i"].astype("int64").tolist(),
+                   keep["v"].astype("float64").tolist())
+        state.update((d, i, v, int(seen)))
+        yield pd.DataFrame({"intervention_type": [key[0]], "salt": [int(key[1])], "dates": [d],
+                            "ids": [i], "values": [v], "seen": [int(seen)]})
     return fn
 
 
-def recent_effectiveness_stream(follow_up: DataFrame, n: int = FV.RECENT_RUNS) -> DataFrame:
-    """Mean of the ``n`` latest tracker effectiveness values per type, kept
-    as keyed state of at most ``n`` entries."""
+def recent_effectiveness_stream(follow_up: DataFrame, n: int = FV.RECENT_RUNS,
+                                salts: int = 16) -> DataFrame:
+    """Keyed state of the ``n`` latest tracker effectiveness values.
+
+    The state key is ``(type, salt)`` with ``salt = hash(record) mod salts``:
+    a type holding a third of the stream is spread over ``salts`` groups, each
+    keeping at most ``n`` entries. :func:`merge_recent` combines the at most
+    ``salts × n`` survivors of a type into its mean.
+    """
     rows = follow_up.select(
         "intervention_type", "record_id",
+        F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int").alias("salt"),
         F.unix_micros(F.col("implementation_date").cast("timestamp")).alias("order_ts"),
         tracker_effectiveness("before_incidents", "after_incidents").alias("effectiveness"))
-    return rows.groupBy("intervention_type").applyInPandasWithState(
+    return rows.groupBy("intervention_type", "salt").applyInPandasWithState(
         _recent_fn(n), RECENT_OUT, RECENT_STATE, "update", "NoTimeout")
 
 
+def merge_recent(salted: DataFrame, n: int = FV.RECENT_RUNS) -> DataFrame:
+    """``intervention_type, recent, seen`` from the per-salt survivors."""
+    from pyspark.sql import Window
+    e = salted.select("intervention_type", "salt", "seen",
+                      F.explode(F.arrays_zip("dates", "ids", "values")).alias("e"))
+    w = Window.partitionBy("intervention_type").orderBy(F.desc("e.dates"), F.desc("e.ids"))
+    top = e.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+    seen = salted.groupBy("intervention_type").agg(F.sum("seen").alias("seen"))
+    return (top.groupBy("intervention_type").agg(F.avg("e.values").alias("recent"))
+            .join(seen, "intervention_type"))
+
+
 # ---------------------------------------------------------------- ST8
 
 def validation_history_stream(orders: DataFrame) -> DataFrame:
