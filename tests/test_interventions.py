@@ -81,3 +81,16 @@ def test_latest_recent_known_answers(spark):
            "police_patrol": 0.400877, "public_awareness": 0.173333, "targeted_enforcement": 0.490833}
     for k, v in exp.items():
         assert got[k] == pytest.approx(v, abs=1e-6)
+
+
+def test_exact_quantiles_match_numpy(spark):
+    from vigil.operators.sequence import exact_quantiles
+    rng = np.random.default_rng(11)
+    n = 700
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b", "c"], n, p=[0.8, 0.15, 0.05]),
+                        "id": np.arange(n), "v": np.round(rng.uniform(0, 1, n), 2)})
+    got = {(r.k, r.q): r.quantile for r in
+           exact_quantiles(spark.createDataFrame(pdf), "k", "v", [0.25, 0.5, 0.75], id_col="id").collect()}
+    for k, grp in pdf.groupby("k"):
+        for q in (0.25, 0.5, 0.75):
+            assert got[(k, q)] == pytest.approx(np.percentile(grp["v"], q * 100))

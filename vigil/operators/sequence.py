@@ -62,3 +62,30 @@ def trailing_mean(df: DataFrame, key: str, order: list[str], value: str, n: int,
     vals = ranked.select(key, "seq", value)
     return (probes.join(vals, [key, "seq"], "inner")
             .groupBy(key, id_col).agg(F.avg(value).alias(out)))
+
+
+def exact_quantiles(df: DataFrame, key: str, value: str, qs: list[float], *,
+                    id_col: str) -> DataFrame:
+    """Exact linear-interpolated quantiles of ``value`` per ``key``:
+    ``key, q, quantile``.
+
+    Values are ranked inside their key with :func:`rank_within` (range
+    partitioning, so a key holding a third of the rows spans many tasks);
+    per-key counts come from a partial aggregate; the two neighbours of every
+    quantile position are fetched with an equi-join on ``(key, seq)``.
+    """
+    ranked = rank_within(df.select(key, id_col, value).filter(F.col(value).isNotNull()),
+                         key, [value, id_col])
+    counts = ranked.groupBy(key).agg(F.count("*").alias("_c"))
+    qarr = F.array(*[F.lit(float(q)) for q in qs])
+    pos = (counts.select(key, "_c", F.explode(qarr).alias("q"))
+           .withColumn("_p", F.col("q") * (F.col("_c") - 1))
+           .withColumn("_lo", F.floor("_p").cast("bigint") + 1)
+           .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_c")))
+           .withColumn("_f", F.col("_p") - F.floor("_p")))
+    v = ranked.select(key, "seq", value)
+    lo = v.select(key, F.col("seq").alias("_lo"), F.col(value).alias("_vlo"))
+    hi = v.select(key, F.col("seq").alias("_hi"), F.col(value).alias("_vhi"))
+    return (pos.join(lo, [key, "_lo"]).join(hi, [key, "_hi"])
+            .select(key, "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f"))
+                    .alias("quantile")))

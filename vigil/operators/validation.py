@@ -197,18 +197,16 @@ def avg_effectiveness(results: DataFrame) -> DataFrame:
             .withColumn("avg_effectiveness_pct", F.col("avg_effectiveness") * 100))
 
 
-def effectiveness_quartiles(results: DataFrame) -> DataFrame:
-    """min, q1, median, q3, max per type (exact, linear interpolation).
-
-    ``percentile`` keeps a value→frequency map per group; effectiveness is a
-    ratio of small incident counts, so the distinct values per type are few.
-    """
-    q = F.percentile("effectiveness", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (results.groupBy("type")
-            .agg(F.min("effectiveness").alias("min"), q.alias("_q"),
-                 F.max("effectiveness").alias("max"))
-            .select("type", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                    F.col("_q")[2].alias("q3"), "max"))
+def effectiveness_quartiles(results: DataFrame, id_col: str = "intervention_id") -> DataFrame:
+    """min, q1, median, q3, max per type (exact, linear interpolation),
+    computed with distributed ranks rather than a per-type value buffer."""
+    from vigil.operators.sequence import exact_quantiles
+    q = exact_quantiles(results, "type", "effectiveness", [0.25, 0.5, 0.75], id_col=id_col)
+    wide = (q.groupBy("type").pivot("q", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
+            .toDF("type", "q1", "median", "q3"))
+    ext = results.groupBy("type").agg(F.min("effectiveness").alias("min"),
+                                      F.max("effectiveness").alias("max"))
+    return ext.join(wide, "type").select("type", "min", "q1", "median", "q3", "max")
 
 
 # ---------------------------------------------------------------- history
