@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from vigil import fixed_values as FV
 from vigil.functions.geo import euclidean, floor_bin, valid_point
+from vigil.session import checkpoint_dir
 
 
 def _neighbourhood(targets: DataFrame, lat: str, lon: str, size: float) -> DataFrame:
@@ -100,6 +101,7 @@ def nearest(points: DataFrame, targets: DataFrame, *, id_col: str = "incident_id
     to the shared folder, so each level plans and runs on a short lineage,
     and the loop stops as soon as no point is left.
     """
+    checkpoint_dir(points.sparkSession)
     pts = points.filter(valid_point(lat, lon)).select(id_col, lat, lon)
     tgt = targets.select(target_id, F.col(t_lat).alias("_tlat"), F.col(t_lon).alias("_tlon"))
     tgt = tgt.filter(valid_point("_tlat", "_tlon")).checkpoint(eager=True)

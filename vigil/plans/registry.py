@@ -33,9 +33,20 @@ def _load() -> None:
                              layers, regions, learn, streams)
 
 
+def _utc(fn: QueryFn) -> QueryFn:
+    """Pin the session time zone: hour/weekday parts and timestamp casts of
+    the naive source timestamps are defined in UTC."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, QueryFn]:
     _load()
-    return dict(_QUERIES)
+    return {k: _utc(v) for k, v in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
