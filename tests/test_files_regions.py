@@ -67,3 +67,26 @@ def test_region_upsert_idempotent_and_parse(spark):
     docs = R.region_docs(cur)
     assert sorted(R.region_edges(docs).collect()) == sorted(cur.collect())
     assert R.default_similarity(spark).first().similar_regions == ["global"]
+
+
+def test_landed_articles_prune_by_day(spark, tmp_dir):
+    import datetime as dt
+    from vigil.operators import extraction as X
+    rows = [(k, dt.datetime(2024, 1, 1 + k % 10, 12), "t", "d", "en", ("s",)) for k in range(50)]
+    df = spark.createDataFrame(rows, "article_id long, published_at timestamp, title string, description string, "
+                                     "lang string, source struct<name:string>")
+    p = os.path.join(tmp_dir, "landed")
+    files.land_articles(df, p)
+    win = X.article_window(files.read_landed_articles(spark, p), start="2024-01-03", end="2024-01-04")
+    assert win.count() == 10
+    plan = win._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(published_day" in plan
+
+
+def test_parse_and_haversine(spark):
+    from vigil.functions import geo, temporal
+    df = spark.createDataFrame([("2024-01-02 03:04:05",), ("not a date",)], "s string")
+    got = [r[0] for r in df.select(temporal.parse_ts("s")).collect()]
+    assert got[0] is not None and got[1] is None
+    d = spark.range(1).select(geo.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))).first()[0]
+    assert abs(d - 111.19) < 0.1

@@ -31,8 +31,11 @@ def article_window(articles: DataFrame, *, start: str, end: str,
                    lang: str | None = FV.DEFAULT_LANG, ts: str = "published_at") -> DataFrame:
     """``start ≤ day(published) ≤ end`` and language filter (both pushed to
     the scan when the landed articles are partitioned/sorted by them)."""
-    d = F.to_date(ts)
-    out = articles.filter(d.between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
+    out = articles.filter(F.to_date(ts).between(lo, hi))
+    if "published_day" in articles.columns:
+        # landed layout: the same range on the partition column prunes directories
+        out = out.filter(F.col("published_day").between(lo, hi))
     return out.filter(F.col("lang") == lang) if lang else out
 
 

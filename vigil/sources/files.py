@@ -117,3 +117,14 @@ def write_table_checkpoint(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:8]}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def land_articles(df: DataFrame, path: str) -> None:
+    """Landed articles partitioned by publication day, so day-range
+    predicates prune whole directories."""
+    (df.withColumn("published_day", F.to_date("published_at"))
+     .write.mode("append").partitionBy("published_day").parquet(path))
+
+
+def read_landed_articles(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
