@@ -15,7 +15,6 @@ from vigil.operators import validation as V
 from vigil.plans.registry import query
 from vigil.plans.sql_bindings import ACTUAL, FOLLOW_UP, TRAIN, VALIDATION_HISTORY, hotspot_sql
 from vigil.sources import bindings as B
-from vigil.sources.files import write_table_checkpoint
 
 TRAIN_AS_OF = "2024-01-24"
 FINE = 0.005
@@ -58,13 +57,12 @@ _FPR = """case when (select count(*) from pc) > 0 then (select count(*) from (se
 
 
 def _split(spark, sf):
-    """Predictions are a persisted artefact: the hotspot frames are written
-    once to the shared checkpoint folder and every validation plan reads
-    them, instead of re-planning the prediction inside each metric."""
+    """Predict on *train*, validate on *actual*. The prediction's cell
+    aggregate is checkpointed inside ``hotspot_frames``, so every metric plan
+    starts from that short lineage rather than from the raw incidents."""
     train, actual = B.train_actual(spark, sf)
     hs, types = grid.hotspot_frames(train, as_of=TRAIN_AS_OF)
-    return (write_table_checkpoint(hs, "hotspots"), write_table_checkpoint(types, "hotspot_types"),
-            actual)
+    return hs, types, actual
 
 
 @query("spatial_accuracy", _spatial_sql("0.05e0"))
