@@ -148,17 +148,16 @@ def risk_amplifiers(df: DataFrame, *, ts: str | None = "date", place: str | None
     ``external`` (``factor, value``) passes environmental factors through.
     """
     counts = section_counts(df, ts=ts, category=category, place=place)
-    tops = counts.groupBy("section").agg(F.max("n").alias("top"))
-    total = (counts.filter(F.col("section") == "total")
-             .select(F.lit("category").alias("section"), F.col("n").alias("total")))
+    tops = counts.groupBy("section").agg(F.max("n").alias("top"))        # ≤ 5 rows
+    total = counts.filter(F.col("section") == "total").agg(F.max("n")).scalar()
     dims = F.create_map(F.lit("hour"), F.lit("hourly"), F.lit("day"), F.lit("daily"),
                         F.lit("place"), F.lit("location"), F.lit("category"), F.lit("category"))
     out = (counts.filter(F.col("section") != "total")
-           .join(F.broadcast(tops), "section").join(F.broadcast(total), "section", "left")
+           .join(F.broadcast(tops), "section")
            .select(dims[F.col("section")].alias("dimension"), "key",
                    F.col("n").alias("incident_count"),
                    F.when(F.col("section") == "category",
-                          round_half_even(F.col("n") / F.col("total"), 2))
+                          round_half_even(F.col("n") / total, 2))
                    .otherwise(F.col("n") / F.col("top")).alias("risk_score")))
     if external is not None:
         out = out.unionByName(external.select(

@@ -115,11 +115,14 @@ def validation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def region_similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity edges between the 5 TPC-H regions (fixed-size dimension)."""
+    """Similarity edges between the 5 TPC-H regions (fixed-size dimension):
+    every region a ≠ b, weight ``1 / (1 + |key_a - key_b|)``. Each region is
+    expanded over the key range and equi-joined on the other key."""
     r = read_table(spark, sf_dir, "region", "r_regionkey", "r_name")
-    a, b = r.alias("a"), F.broadcast(r.alias("b"))
-    return (a.join(b, F.col("a.r_regionkey") != F.col("b.r_regionkey"))
-            .select(F.col("a.r_name").alias("region"),
-                    F.col("b.r_name").alias("similar_region"),
-                    (F.lit(1.0) / (1 + F.abs(F.col("a.r_regionkey") - F.col("b.r_regionkey"))))
-                    .alias("weight")))
+    lo_hi = r.agg(F.struct(F.min("r_regionkey").alias("lo"), F.max("r_regionkey").alias("hi"))).scalar()
+    a = r.select(F.col("r_name").alias("region"), F.col("r_regionkey").alias("ka"),
+                 F.explode(F.sequence(lo_hi.getField("lo"), lo_hi.getField("hi"))).alias("kb"))
+    b = r.select(F.col("r_regionkey").alias("kb"), F.col("r_name").alias("similar_region"))
+    return (a.join(F.broadcast(b), "kb").filter(F.col("ka") != F.col("kb"))
+            .select("region", "similar_region",
+                    (F.lit(1.0) / (1 + F.abs(F.col("ka") - F.col("kb")))).alias("weight")))
