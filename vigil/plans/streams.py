@@ -95,3 +95,20 @@ def q_stream_history(spark, sf):
     r = S.run_available(S.validation_history_stream(o), name="history", keys=["run_no"])
     return r.select("run_no", F.round(F.col("finished") / F.col("n"), 9).alias("prediction_accuracy"),
                     F.round(F.col("urgent") / F.col("n"), 9).alias("false_positive_rate"))
+
+
+@query("stream_spike_feed", f"""{_W}, x as (select category, date_trunc('hour', date) - to_hours(k) as ws
+from inc, (select unnest(range(0, 24)) as k) r),
+c as (select ws, category, count(*) as n from x group by 1, 2),
+d as (select category, cast(date as date) as day, count(*) as n from inc group by 1, 2),
+b as (select category, avg(n) as mean, stddev_samp(n) as sd from d group by 1)
+select strftime(c.ws, '%Y-%m-%d %H:%M:%S') as window_start, c.category, c.n, round(b.mean, 6) as mean,
+round(b.sd, 6) as sd, coalesce(c.n > b.mean + 3e0*b.sd, false) as alert
+from c left join b on b.category = c.category""")
+def q_stream_spike_feed(spark, sf):
+    baseline = S.daily_baseline(B.incidents(spark, sf))
+    s = S.windowed_counts(_incident_stream(spark, sf), duration="1 day", slide="1 hour")
+    r = S.run_available(s, name="spikes", keys=["window_start", "category"],
+                        transform=S.spike_feed_transform(baseline))
+    return r.select("window_start", "category", "n", F.round("mean", 6).alias("mean"),
+                    F.round("sd", 6).alias("sd"), "alert")

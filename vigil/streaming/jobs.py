@@ -208,3 +208,20 @@ def validation_history_stream(orders: DataFrame) -> DataFrame:
             .agg(F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("finished"),
                  F.sum(F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0)).alias("urgent"),
                  F.count("*").alias("n")))
+
+
+def spike_feed_transform(baseline: DataFrame, *, keys=("category",), k: float = 3.0):
+    """foreachBatch step of the spike feed: each micro-batch of windowed
+    counts meets the static per-key baseline (``mean``, ``sd``) by an
+    equi-join and is flagged when ``n > mean + k·sd``."""
+    def flag(batch: DataFrame) -> DataFrame:
+        j = batch.join(baseline, list(keys), "left")
+        return j.withColumn("alert", F.coalesce(F.col("n") > F.col("mean") + k * F.col("sd"),
+                                                F.lit(False)))
+    return flag
+
+
+def daily_baseline(incidents: DataFrame, *, keys=("category",), ts: str = "date") -> DataFrame:
+    """Per key: mean and sample sd of the daily counts (batch history)."""
+    daily = incidents.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.count("*").alias("n"))
+    return daily.groupBy(*keys).agg(F.avg("n").alias("mean"), F.stddev_samp("n").alias("sd"))
