@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from vigil import fixed_values as FV
 from vigil.functions.geo import valid_point
 from vigil.functions.numeric import round_half_even
-from vigil.session import checkpoint_dir
+from vigil.session import materialize
 
 
 def grid_extent(df: DataFrame, lat: str = "latitude", lon: str = "longitude",
@@ -190,9 +190,8 @@ def hotspot_frames(df: DataFrame, *, as_of: str | None = None, days: int = FV.PR
     place = place if place in df.columns else None
     category = category if category in df.columns else None
     ts = ts if ts and ts in df.columns else None
-    checkpoint_dir(df.sparkSession)
     ext = extent_values(df, lat, lon, resolution, ts=ts if as_of is None else None)
-    g = _cell_place_category_counts(df, ext, lat, lon, place, category).checkpoint(eager=True)
+    g = materialize(_cell_place_category_counts(df, ext, lat, lon, place, category))
 
     cells = g.groupBy("i", "j").agg(F.sum("n").alias("n"))
     stats = cell_threshold(cells, pct).first()

@@ -16,9 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.session import checkpoint_dir
+from vigil.session import checkpoint_dir, materialize
 
 _LOW_BITS = (1 << 33) - 1
+BROADCAST_ROWS = 200_000
 
 
 def rank_within(df: DataFrame, key: str, order: list[str], *, out: str = "seq",
@@ -32,17 +33,19 @@ def rank_within(df: DataFrame, key: str, order: list[str], *, out: str = "seq",
     # coalesce the same exchange differently for two consumers, so the ranged
     # rows are written once to the shared checkpoint folder (this also cuts
     # the lineage; a lost executor re-reads the checkpoint, not the source).
-    ranged = (df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS)))
-              .checkpoint(eager=True))
+    ranged = materialize(df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
     # per (partition, key): first position and row count — ≤ partitions × keys rows
     blocks = ranged.groupBy("_pid", key).agg(F.min("_pos").alias("_first"),
                                              F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    return (ranged.join(F.broadcast(blocks.select("_pid", key, "_first", "_before")),
-                        ["_pid", key])
+    blocks = materialize(blocks.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
+                         .select("_pid", key, "_first", "_before"))
+    # ≤ partitions + keys rows; broadcast only behind that measured bound
+    if blocks.count() <= BROADCAST_ROWS:
+        blocks = F.broadcast(blocks)
+    return (ranged.join(blocks, ["_pid", key])
             .select(*cols, (F.col("_before") + F.col("_pos") - F.col("_first") + 1).alias(out)))
 
 

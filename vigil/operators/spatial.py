@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from vigil import fixed_values as FV
 from vigil.functions.geo import euclidean, floor_bin, valid_point
-from vigil.session import checkpoint_dir
+from vigil.session import checkpoint_dir, materialize
 
 
 def _neighbourhood(targets: DataFrame, lat: str, lon: str, size: float) -> DataFrame:
@@ -104,10 +104,10 @@ def nearest(points: DataFrame, targets: DataFrame, *, id_col: str = "incident_id
     checkpoint_dir(points.sparkSession)
     pts = points.filter(valid_point(lat, lon)).select(id_col, lat, lon)
     tgt = targets.select(target_id, F.col(t_lat).alias("_tlat"), F.col(t_lon).alias("_tlon"))
-    tgt = tgt.filter(valid_point("_tlat", "_tlon")).checkpoint(eager=True)
+    tgt = materialize(tgt.filter(valid_point("_tlat", "_tlon")))
     levels = _levels(pts, tgt, lat, lon, "_tlat", "_tlon", base)
     done = []
-    todo = pts.checkpoint(eager=True)
+    todo = materialize(pts)
     for k in range(levels):
         size = base * (2 ** k)
         t = _neighbourhood(tgt, "_tlat", "_tlon", size)
@@ -117,11 +117,11 @@ def nearest(points: DataFrame, targets: DataFrame, *, id_col: str = "incident_id
                 .groupBy(id_col)
                 .agg(F.min_by(F.struct("dist", target_id), F.struct("dist", target_id)).alias("m"))
                 .select(id_col, F.col(f"m.{target_id}").alias(target_id), F.col("m.dist").alias("dist")))
-        final = (best if k == levels - 1 else best.filter(F.col("dist") <= F.lit(size))).checkpoint(eager=True)
+        final = materialize(best if k == levels - 1 else best.filter(F.col("dist") <= F.lit(size)))
         done.append(final)
         if k == levels - 1:
             break
-        todo = todo.join(final.select(id_col), id_col, "left_anti").checkpoint(eager=True)
+        todo = materialize(todo.join(final.select(id_col), id_col, "left_anti"))
         if todo.isEmpty():
             break
     out = done[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Session defaults every operator relies on: UTC wall clock (hour/weekday
 # parity with DuckDB), AQE for runtime re-planning (coalescing, skew splits,
@@ -56,3 +56,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared folder, computed once: the rows are
+    persisted while the checkpoint job counts and writes them, then released.
+    A lost executor later re-reads the checkpoint files, not the lineage."""
+    from pyspark import StorageLevel
+    checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
