@@ -47,15 +47,19 @@ def category_fanout(articles: DataFrame, category_terms: list[tuple[str, str]])
     """One row per (article, category) whose term occurs in the article
     text (bag semantics: an article can yield several categories), plus
     ``relevance`` = occurrences of the term. The category list is a literal
-    array, so the fan-out is a narrow explode — no join."""
-    terms = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(t.lower()).alias("term"))
-                      for c, t in category_terms])
-    txt = with_text(articles)
-    low = F.lower(F.col("text"))
-    return (txt.withColumn("_hit", F.explode(F.filter(terms, lambda s: F.contains(low, s["term"]))))
+    array of CASE structs, so the fan-out is a narrow explode — no join, no
+    lambda; the text is lower-cased once per article."""
+    txt = with_text(articles).withColumn("_low", F.lower(F.col("text")))
+    low = F.col("_low")
+    hits = F.array(*[F.when(F.contains(low, F.lit(t.lower())),
+                            F.struct(F.lit(c).alias("category"), F.lit(t.lower()).alias("term")))
+                     for c, t in category_terms])
+    term = F.col("_hit.term")
+    occ = ((F.length(low) - F.length(F.replace(low, term, F.lit("")))) / F.length(term)).cast("bigint")
+    return (txt.withColumn("_hit", F.explode(hits)).filter(F.col("_hit").isNotNull())
             .withColumn("category", F.col("_hit.category"))
-            .withColumn("relevance", X.occurrences("text", F.col("_hit.term")))
-            .drop("_hit"))
+            .withColumn("relevance", occ)
+            .drop("_hit", "_low"))
 
 
 def category_topk(fanout: DataFrame, k: int = FV.PAGE_SIZE, id_col: str = "article_id") -> DataFrame:
@@ -72,8 +76,12 @@ def category_topk(fanout: DataFrame, k: int = FV.PAGE_SIZE, id_col: str = "artic
 def crime_sentences(articles: DataFrame, keywords: list[str], id_col: str = "article_id") -> DataFrame:
     """``article_id, s_idx, sentence`` for sentences holding a keyword."""
     txt = with_text(articles).select(id_col, "text")
-    return (txt.select(id_col, F.posexplode(X.sentences("text")).alias("s_idx", "sentence"))
-            .filter(X.contains_any("sentence", keywords)))
+    sents = (txt.select(id_col, F.posexplode(X.sentences("text")).alias("s_idx", "sentence"))
+             .withColumn("_low", F.lower(F.col("sentence"))))
+    hit = F.lit(False)
+    for k in keywords:                        # lower-cased once, plain OR of contains
+        hit = hit | F.contains(F.col("_low"), F.lit(k.lower()))
+    return sents.filter(hit).drop("_low")
 
 
 def location_phrases(sents: DataFrame, patterns: list[str] = FV.LOCATION_PATTERNS,
