@@ -10,7 +10,6 @@ streaming checkpoint. ``run_available`` drives a job to completion with
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -37,8 +36,15 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, **options) -> Data
     return reader.parquet(path[:-1] + "[" + path[-1] + "]")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Path test through the Hadoop FileSystem (local, HDFS, object stores)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+    return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:8]}"
 
 
 def batch_sink(out: str, transform: Callable[[DataFrame], DataFrame] | None = None):
@@ -62,7 +68,7 @@ def run_available(stream: DataFrame, *, name: str, mode: str = "update", keys: l
     q = (stream.writeStream.outputMode(mode).foreachBatch(batch_sink(f"{base}/out", transform))
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    if not os.path.isdir(f"{base}/out") and "://" not in base:
+    if not _exists(spark, f"{base}/out"):
         # nothing arrived: same columns, no rows
         empty = spark.createDataFrame([], stream.schema)
         return transform(empty) if transform else empty
