@@ -16,12 +16,12 @@ aggregate):
    a scalar subquery);
 2. ``(i, j, place, category) -> n`` — hash aggregate with map-side partial
    aggregation, so a cell holding a third of all rows still ships one row per
-   (map task, place, category); the aggregated rows are hash-partitioned once
-   on ``(i, j)`` and checkpointed to the shared folder;
+   (map task, place, category); the aggregated rows are checkpointed to the
+   shared folder;
 3. threshold and max — one row from the checkpoint (``percentile`` keeps a
    value→frequency map, bounded by the distinct counts);
-4. cell totals, modal place and shares from the checkpoint without another
-   exchange of raw data.
+4. cell totals, modal place and shares from the checkpoint: only the small
+   aggregate is shuffled again, never the raw incidents.
 """
 
 from __future__ import annotations
@@ -159,10 +159,8 @@ def _cell_place_category_counts(df: DataFrame, extent, lat: str, lon: str,
     c = F.col(category) if category else F.lit(None).cast("string")
     base = assign_cells(df.select(lat, lon, p.alias("place"), c.alias("category")),
                         extent, lat, lon)
-    # partial + final aggregate, then one exchange on the cell key that every
-    # later per-cell aggregate and join reuses.
-    return (base.groupBy("i", "j", "place", "category").agg(F.count(F.lit(1)).alias("n"))
-            .repartition("i", "j"))
+    # partial + final aggregate; the result is far smaller than the incidents
+    return base.groupBy("i", "j", "place", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
 def hotspot_frames(df: DataFrame, *, as_of: str | None = None, days: int = FV.PREDICTION_DAYS,
@@ -181,11 +179,10 @@ def hotspot_frames(df: DataFrame, *, as_of: str | None = None, days: int = FV.PR
     the day of the latest incident. ``end = as_of + days``.
 
     A phased job: (1) the one-row extent is fetched; (2) the incidents are
-    aggregated once to ``(i, j, place, category) -> n``, hash-partitioned on
-    the cell and checkpointed to the shared folder (the raw table is not read
-    again, and the partitioning survives for every per-cell step); (3) the
-    one-row threshold/max is fetched from that aggregate; (4) hot cells,
-    modal place and shares are computed from the checkpoint.
+    aggregated once to ``(i, j, place, category) -> n`` and checkpointed to
+    the shared folder (the raw table is not read again); (3) the one-row
+    threshold/max is fetched from that aggregate; (4) hot cells, modal place
+    and shares are computed from the checkpoint.
     """
     place = place if place in df.columns else None
     category = category if category in df.columns else None
