@@ -34,13 +34,13 @@ def q_top_locations(spark, sf):
 
 @query("hourly_distribution", f"{_W} select cast(hour(date) as integer) as hour, count(*) as n from inc where date is not null group by 1")
 def q_hourly(spark, sf):
-    return D.hourly_distribution(_inc(spark, sf))
+    return D.hourly_distribution(_inc(spark, sf)).orderBy("hour")            # T2
 
 
 @query("daily_distribution", f"""{_W} select dayname(date) as day, cast(isodow(date) - 1 as integer) as weekday,
 count(*) as n from inc where date is not null group by 1, 2""")
 def q_daily(spark, sf):
-    return D.daily_distribution(_inc(spark, sf))
+    return D.daily_distribution(_inc(spark, sf)).orderBy("weekday")         # T3 calendar order
 
 
 @query("date_parts", f"""{_W} select incident_id, cast(hour(date) as integer) as hour, dayname(date) as day,
@@ -82,14 +82,14 @@ def q_daily_risk(spark, sf):
 where location_name is not null group by 1)
 select place as key, n as incident_count, n*1e0/(select max(n) from c) as risk_score from c""")
 def q_location_risk(spark, sf):
-    return D.location_risk(_inc(spark, sf))
+    return D.location_risk(_inc(spark, sf)).orderBy(F.desc("risk_score"), "key")   # T4
 
 
 @query("category_share", f"""{_W} select category, count(*) as incident_count,
 round_even(count(*)*1e0/(select count(*) from inc)*100e0, 0)/100e0 as share
 from inc where category is not null group by category""")
 def q_category_share(spark, sf):
-    return D.category_share(_inc(spark, sf))
+    return D.category_share(_inc(spark, sf)).orderBy(F.desc("share"), "category")   # T5
 
 
 _AMP_SQL = f"""{_W},
@@ -105,7 +105,7 @@ union all select 'category', key, n, round_even(n*1e0/(select count(*) from inc)
 
 @query("risk_amplifiers", _AMP_SQL)
 def q_risk_amplifiers(spark, sf):
-    return D.risk_amplifiers(_inc(spark, sf))
+    return D.risk_amplifiers(_inc(spark, sf)).orderBy("dimension", F.desc("risk_score"), "key")  # T7
 
 
 @query("fill_defaults", f"""with a as ({ARTICLES})

@@ -203,7 +203,8 @@ round(avg(effectiveness)*100e0, 6) as avg_effectiveness_pct from res group by ty
 def q_avg_eff(spark, sf):
     a = V.avg_effectiveness(V.intervention_results(B.follow_up(spark, sf)))
     return a.select("type", round6("avg_effectiveness").alias("avg_effectiveness"), "results",
-                    round6("avg_effectiveness_pct").alias("avg_effectiveness_pct"))
+                    round6("avg_effectiveness_pct").alias("avg_effectiveness_pct")
+                    ).orderBy(F.desc("avg_effectiveness"), "type")                  # T8
 
 
 @query("effectiveness_quartiles", f"""{_FU} select type, min(effectiveness) as min,
