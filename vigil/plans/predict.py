@@ -80,3 +80,10 @@ def q_high_risk_count(spark, sf):
     hs = grid.hotspots(_inc(spark, sf), as_of=AS_OF)
     return hs.agg(F.count_if(F.col("risk_score") >= 0.7).alias("high_risk_hotspots"),
                   F.count(F.lit(1)).alias("hotspots"))
+
+
+@query("hotspots_document")
+def q_hotspots_document(spark, sf):
+    """Document form: coordinates struct, prediction{risk_score, crime_types
+    map, timeframe} (rows-only: nested maps do not hash portably)."""
+    return grid.hotspots_nested(_inc(spark, sf), as_of=AS_OF)
