@@ -17,10 +17,6 @@ from vigil.operators.interventions import validator_effectiveness
 from vigil.operators.spatial import hit_flags
 
 
-def _scalar(df: DataFrame) -> Column:
-    return df.scalar()
-
-
 def spatial_accuracy(hotspots: DataFrame, actual: DataFrame, *,
                      max_dist: float = FV.HIT_DISTANCE) -> DataFrame:
     """Share of actual incidents with a hotspot centre closer than
