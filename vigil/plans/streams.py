@@ -112,3 +112,15 @@ def q_stream_spike_feed(spark, sf):
                         transform=S.spike_feed_transform(baseline))
     return r.select("window_start", "category", "n", F.round("mean", 6).alias("mean"),
                     F.round("sd", 6).alias("sd"), "alert")
+
+
+@query("stream_hot_cells", f"""{_W}, x as (select cast(floor(latitude/0.01e0) as bigint) as i,
+cast(floor(longitude/0.01e0) as bigint) as j, date_trunc('day', date) - to_days(k) as ws
+from inc, (select unnest(range(0, 7)) as k) r where latitude is not null and longitude is not null),
+c as (select strftime(ws, '%Y-%m-%d') as window_start, i, j, count(*) as n from x group by 1, 2, 3),
+t as (select window_start, quantile_cont(n, 0.75) as threshold from c group by 1)
+select c.window_start, c.i, c.j, c.n from c join t on t.window_start = c.window_start where c.n >= t.threshold""")
+def q_stream_hot_cells(spark, sf):
+    s = S.rolling_grid_counts(_incident_stream(spark, sf))
+    counts = S.run_available(s, name="grid_hot", keys=["window_start", "i", "j"])
+    return S.hot_window_cells(counts)

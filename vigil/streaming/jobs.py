@@ -231,3 +231,18 @@ def daily_baseline(incidents: DataFrame, *, keys=("category",), ts: str = "date"
     """Per key: mean and sample sd of the daily counts (batch history)."""
     daily = incidents.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.count("*").alias("n"))
     return daily.groupBy(*keys).agg(F.avg("n").alias("mean"), F.stddev_samp("n").alias("sd"))
+
+
+def hot_window_cells(window_counts: DataFrame, pct: float = FV.HOT_PERCENTILE) -> DataFrame:
+    """Hot cells per rolling window from the streamed cell counts.
+
+    A global percentile is not incremental, so it runs as a batch step over
+    the stream's output: per window the exact percentile of the occupied
+    cells' counts (a value→frequency map bounded by distinct counts), joined
+    back on the window key; cells at or above it are hot.
+    """
+    thr = (window_counts.groupBy("window_start")
+           .agg(F.percentile("n", F.lit(pct)).alias("threshold")))
+    return (window_counts.join(thr, "window_start")
+            .filter(F.col("n") >= F.col("threshold"))
+            .select("window_start", "i", "j", "n"))
