@@ -70,12 +70,12 @@ def incident_markers(incidents: DataFrame, id_col: str = "incident_id") -> DataF
 
 
 def hotspot_detail(hotspots: DataFrame, hotspot_types: DataFrame) -> DataFrame:
-    """Per hotspot: band, colour, radius (risk × 20) and the type shares as
-    percentage text ``type: 45.0%`` in category order (bounded per hotspot
-    by the category vocabulary)."""
+    """Per hotspot: band, colour, radius (risk × 20), risk as percent text and
+    the type shares as ``type: 45.0%`` in share order (largest first, ties by
+    name; bounded per hotspot by the category vocabulary)."""
     txt = (hotspot_types.groupBy("hotspot_id")
            .agg(F.array_join(F.transform(
-               F.array_sort(F.collect_list(F.struct("category", "share"))),
+               F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("k"), "category", "share"))),
                lambda s: F.format_string("%s: %.1f%%", s["category"], s["share"] * 100)), ", ")
                .alias("types_text")))
     band = risk_band("risk_score")
@@ -83,6 +83,7 @@ def hotspot_detail(hotspots: DataFrame, hotspot_types: DataFrame) -> DataFrame:
             .select("hotspot_id", "lat", "lon", "location", "risk_score",
                     F.initcap(band).alias("risk_label"), band_colour(band).alias("colour"),
                     (F.col("risk_score") * 20).alias("radius"),
+                    F.format_string("%.1f%%", F.col("risk_score") * 100).alias("risk_text"),
                     F.coalesce("types_text", F.lit("")).alias("types_text")))
 
 

@@ -57,11 +57,12 @@ def q_markers(spark, sf):
 
 
 @query("hotspot_detail", f"""{_HS}, tt as (select hotspot_id, string_agg(printf('%s: %.1f%%', category, share*100e0), ', '
-order by category) as types_text from hs_types group by hotspot_id)
+order by share desc, category) as types_text from hs_types group by hotspot_id)
 select h.hotspot_id, h.lat, h.lon, h.location, h.risk_score,
   case when risk_score >= 0.7e0 then 'High' when risk_score >= 0.4e0 then 'Medium' else 'Low' end as risk_label,
   case when risk_score >= 0.7e0 then 'red' when risk_score >= 0.4e0 then 'orange' else 'green' end as colour,
-  h.risk_score*20 as radius, coalesce(t.types_text, '') as types_text
+  h.risk_score*20 as radius, printf('%.1f%%', h.risk_score*100e0) as risk_text,
+  coalesce(t.types_text, '') as types_text
 from hs h left join tt t on t.hotspot_id = h.hotspot_id""")
 def q_hotspot_detail(spark, sf):
     hs, types = _hs(spark, sf)
