@@ -171,3 +171,22 @@ def fill_defaults(df: DataFrame, defaults: dict | None = None) -> DataFrame:
     """Per-column null fill (only columns present are filled)."""
     d = {k: v for k, v in (defaults or FV.FILL_DEFAULTS).items() if k in df.columns}
     return df.na.fill(d)
+
+
+def overview_metrics(summary: DataFrame) -> DataFrame:
+    """One row from :func:`analysis_summary`: total, most common category and
+    most affected place (arg-max count, ties to the smaller name), with the
+    ``name (count)`` texts the overview shows."""
+    def top(section):
+        sel = F.when(F.col("section") == section, F.struct((-F.col("n")).alias("k"), "key", "n"))
+        return F.min(sel)
+
+    row = summary.agg(F.max(F.when(F.col("section") == "total_incidents", F.col("n"))).alias("total_incidents"),
+                      top("by_category").alias("c"), top("top_locations").alias("l"))
+    return row.select("total_incidents",
+                      F.col("c.key").alias("top_category"), F.col("c.n").alias("top_category_n"),
+                      F.concat(F.col("c.key"), F.lit(" ("), F.col("c.n").cast("string"), F.lit(")"))
+                      .alias("top_category_text"),
+                      F.col("l.key").alias("top_location"), F.col("l.n").alias("top_location_n"),
+                      F.concat(F.col("l.key"), F.lit(" ("), F.col("l.n").cast("string"), F.lit(")"))
+                      .alias("top_location_text"))

@@ -122,3 +122,14 @@ def q_analysis_json(spark, sf):
     """JSON-edge document of the summary (int keys become strings)."""
     doc = D.summary_document(D.analysis_summary(_inc(spark, sf)))
     return doc.select(F.to_json(F.struct(*doc.columns)).alias("analysis_json"))
+
+
+@query("overview_metrics", f"""{_W}, c as (select category as key, count(*) as n from inc where category is not null group by 1),
+l as (select location_name as key, count(*) as n from inc where location_name is not null group by 1),
+tc as (select key, n from c order by n desc, key limit 1), tl as (select key, n from l order by n desc, key limit 1)
+select (select count(*) from inc) as total_incidents, tc.key as top_category, tc.n as top_category_n,
+  tc.key || ' (' || cast(tc.n as varchar) || ')' as top_category_text,
+  tl.key as top_location, tl.n as top_location_n, tl.key || ' (' || cast(tl.n as varchar) || ')' as top_location_text
+from tc cross join tl""")
+def q_overview(spark, sf):
+    return D.overview_metrics(D.analysis_summary(_inc(spark, sf)))
