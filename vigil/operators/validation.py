@@ -283,3 +283,15 @@ def model_performance_log(metrics: DataFrame, model_name: str, *, ts: str = "ts"
     return (metrics.select(F.col(ts).alias("ts"), *[F.col(c).cast("double") for c in metric_cols])
             .unpivot("ts", metric_cols, "metric", "value")
             .select(F.lit(model_name).alias("model_name"), "ts", "metric", "value"))
+
+
+def validation_run_detail(runs: DataFrame, *, order: str = "run_no") -> DataFrame:
+    """Per run: number (1..n in run order), label ``Validation Run #n - id``
+    and the metrics as two-decimal text; the history holds one row per run."""
+    w = Window.orderBy(order)
+    n = F.row_number().over(w).cast("bigint")
+    return runs.select(n.alias("run_number"), order,
+                       F.concat(F.lit("Validation Run #"), n.cast("string"), F.lit(" - "),
+                                F.col(order).cast("string")).alias("label"),
+                       _fmt2(F.col("prediction_accuracy")).alias("accuracy_text"),
+                       _fmt2(F.col("false_positive_rate")).alias("false_positive_rate_text"))

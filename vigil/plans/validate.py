@@ -274,3 +274,11 @@ def q_model_perf(spark, sf):
     vh = B.validation_history(spark, sf).withColumnRenamed("run_no", "ts")
     return V.model_performance_log(vh, "hotspot_grid", metric_cols=["prediction_accuracy",
                                                                     "false_positive_rate"])
+
+
+@query("validation_run_detail", f"""{_VH} select row_number() over (order by run_no) as run_number, run_no,
+'Validation Run #' || cast(row_number() over (order by run_no) as varchar) || ' - ' || cast(run_no as varchar) as label,
+printf('%.2f', round_even(prediction_accuracy*100e0, 0)/100e0) as accuracy_text,
+printf('%.2f', round_even(false_positive_rate*100e0, 0)/100e0) as false_positive_rate_text from vh""")
+def q_validation_run_detail(spark, sf):
+    return V.validation_run_detail(B.validation_history(spark, sf))
