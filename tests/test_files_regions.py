@@ -90,3 +90,16 @@ def test_parse_and_haversine(spark):
     assert got[0] is not None and got[1] is None
     d = spark.range(1).select(geo.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))).first()[0]
     assert abs(d - 111.19) < 0.1
+
+
+def test_recommendations_partitioned_by_band(spark, tmp_dir):
+    from vigil.operators import interventions as I
+    hs = spark.createDataFrame([("h1", "X", 0.9), ("h2", "Y", 0.5), ("h3", "Z", 0.1)],
+                               "hotspot_id string, location string, risk_score double")
+    ty = spark.createDataFrame([("h1", "theft", 1.0)], "hotspot_id string, category string, share double")
+    p = os.path.join(tmp_dir, "recs")
+    files.write_recommendations(I.recommendations(hs, ty), p)
+    assert {"risk_level=high", "risk_level=medium", "risk_level=low"} <= set(os.listdir(p))
+    high = spark.read.parquet(p).filter(F.col("risk_level") == "high")
+    assert high.count() == 2
+    assert "PartitionFilters: [isnotnull(risk_level" in high._jdf.queryExecution().executedPlan().toString()

@@ -128,3 +128,9 @@ def land_articles(df: DataFrame, path: str) -> None:
 
 def read_landed_articles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def write_recommendations(recs: DataFrame, path: str) -> None:
+    """Recommendations partitioned by risk band (one directory per band), so
+    a band view reads only its own files."""
+    recs.write.mode("overwrite").partitionBy("risk_level").parquet(path)
