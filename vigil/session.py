@@ -29,7 +29,9 @@ def get_spark(master: str | None = None, app: str = "vigil",
                .master(master or f"local[{cpus}]")
                .appName(app)
                .config("spark.driver.memory", os.environ.get("VIGIL_DRIVER_MEM", "8g"))
-               .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus)))
+               .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+               # checkpoints of the phased jobs are removed once their frames are gone
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     for k, v in {**_DEFAULTS, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
