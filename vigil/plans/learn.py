@@ -119,3 +119,20 @@ def q_ridge(spark, sf):
         .withColumn("n", F.col("n").cast("double"))
     _, rmse = M.count_ridge(counts)
     return spark.createDataFrame([(float(rmse),)], "rmse double")
+
+
+@query("violent_logreg_weighted")
+def q_logreg_weighted(spark, sf):
+    """Transfer by weighted union: the target region's rows (weight 1) plus
+    every similar region's rows weighted by similarity, one logistic fit
+    with ``weightCol``; evaluated on the target region's hold-out rows."""
+    target = "EUROPE"
+    rows = M.feature_frame(_incident_regions(spark, sf))
+    ts = R.region_training_set(_incident_regions(spark, sf), B.region_similarity_edges(spark, sf))
+    weighted = rows.join(ts.filter(F.col("target_region") == target).select("incident_id", "weight"),
+                         "incident_id")
+    train, test = M.hash_split(weighted)
+    model = M.train_violent(train, "logreg", weight_col="weight")
+    own_test = test.filter(F.col("weight") == 1.0)
+    return model.transform(own_test).select("incident_id", "is_violent",
+                                            F.col("prediction").cast("int").alias("prediction"))
