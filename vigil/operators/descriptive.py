@@ -100,8 +100,10 @@ def summary_document(summary: DataFrame) -> DataFrame:
     one ``map<string, bigint>`` per section. The input is already aggregated
     (closed category vocabulary, top-k places, 24 hours, 7 days)."""
     def section_map(name):
-        entry = F.when(F.col("section") == name, F.struct("key", "n"))
-        return F.map_from_entries(F.collect_list(entry)).alias(name)
+        # entries in count order (largest first, ties by key): deterministic text
+        entry = F.when(F.col("section") == name, F.struct((-F.col("n")).alias("o"), "key", "n"))
+        ordered = F.array_sort(F.collect_list(entry))
+        return F.map_from_entries(F.transform(ordered, lambda e: F.struct(e["key"], e["n"]))).alias(name)
 
     return summary.groupBy().agg(
         F.max(F.when(F.col("section") == "total_incidents", F.col("n"))).alias("total_incidents"),

@@ -117,7 +117,22 @@ def q_fill_defaults(spark, sf):
     return D.fill_defaults(a)
 
 
-@query("analysis_json")
+def _ordered_map(src: str) -> str:
+    return f"(select map_from_entries(list(struct_pack(k := key, v := n) order by n desc, key)) from {src})"
+
+
+_JSON_SQL = f"""{_W},
+c as (select category as key, count(*) as n from inc where category is not null group by 1),
+l as (select location_name as key, count(*) as n from inc where location_name is not null group by 1
+      order by n desc, key limit 10),
+h as (select cast(cast(hour(date) as integer) as varchar) as key, count(*) as n from inc where date is not null group by 1),
+d as (select dayname(date) as key, count(*) as n from inc where date is not null group by 1)
+select cast(to_json(struct_pack(total_incidents := (select count(*) from inc), by_category := {_ordered_map('c')},
+  top_locations := {_ordered_map('l')}, hourly_distribution := {_ordered_map('h')},
+  daily_distribution := {_ordered_map('d')})) as varchar) as analysis_json"""
+
+
+@query("analysis_json", _JSON_SQL)
 def q_analysis_json(spark, sf):
     """JSON-edge document of the summary (int keys become strings)."""
     doc = D.summary_document(D.analysis_summary(_inc(spark, sf)))
