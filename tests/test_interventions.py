@@ -67,7 +67,7 @@ def test_rank_and_trailing_mean_match_pandas(spark, parts):
     exp = pdf.sort_values(["k", "t", "id"]).assign(seq=lambda d: d.groupby("k").cumcount() + 1)
     assert dict(zip(ranked.id, ranked.seq)) == dict(zip(exp.id, exp.seq))
     from vigil.operators.sequence import trailing_mean
-    tm = trailing_mean(df, "k", ["t", "id"], "v", 5, id_col="id").toPandas()
+    tm = trailing_mean(df, "k", ["t", "id"], "v", 5, id_col="id", block_rows=7 * parts).toPandas()
     exp["m"] = exp.groupby("k")["v"].transform(lambda s: s.rolling(5, min_periods=1).mean())
     got = dict(zip(tm.id, tm.trailing_mean))
     for i, m in zip(exp.id, exp.m):

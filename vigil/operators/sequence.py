@@ -50,21 +50,28 @@ def rank_within(df: DataFrame, key: str, order: list[str], *, out: str = "seq",
 
 
 def trailing_mean(df: DataFrame, key: str, order: list[str], value: str, n: int, *,
-                  id_col: str, out: str = "trailing_mean") -> DataFrame:
+                  id_col: str, out: str = "trailing_mean", block_rows: int = 1 << 16) -> DataFrame:
     """Mean of ``value`` over the current row and up to ``n - 1`` preceding
     rows of the same key (fewer at the start of a key).
 
-    Rows are ranked with :func:`rank_within`; each row then meets its ``n``
-    predecessors through an equi-join on ``(key, seq)`` after exploding
-    ``n`` offsets, so every join key is unique and no key is skewed.
+    Rows are ranked with :func:`rank_within`, then cut into blocks of
+    ``block_rows`` consecutive ranks per key. The last ``n - 1`` rows of every
+    block are copied into the next block as a halo, so a window
+    ``rowsBetween(-(n-1), 0)`` partitioned by ``(key, block)`` sees every
+    predecessor; halo rows are dropped afterwards. Each window partition holds
+    at most ``block_rows + n - 1`` rows, even for a key with a third of the
+    table, and the data is shuffled about ``1 + (n - 1) / block_rows`` times.
     """
+    from pyspark.sql import Window
     ranked = rank_within(df.select(key, id_col, value, *[c for c in order if c != id_col]),
                          key, order)
-    probes = ranked.select(key, id_col, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_off"),
-                           "seq").select(key, id_col, (F.col("seq") - F.col("_off")).alias("seq"))
-    vals = ranked.select(key, "seq", value)
-    return (probes.join(vals, [key, "seq"], "inner")
-            .groupBy(key, id_col).agg(F.avg(value).alias(out)))
+    blk = F.floor((F.col("seq") - 1) / F.lit(block_rows)).cast("bigint")
+    main = ranked.select(key, id_col, value, "seq", blk.alias("_blk"), F.lit(False).alias("_halo"))
+    halo = (ranked.filter(F.pmod(F.col("seq") - 1, F.lit(block_rows)) >= block_rows - (n - 1))
+            .select(key, id_col, value, "seq", (blk + 1).alias("_blk"), F.lit(True).alias("_halo")))
+    w = Window.partitionBy(key, "_blk").orderBy("seq").rowsBetween(-(n - 1), 0)
+    return (main.unionByName(halo).withColumn(out, F.avg(value).over(w))
+            .filter(~F.col("_halo")).select(key, id_col, out))
 
 
 def exact_quantiles(df: DataFrame, key: str, value: str, qs: list[float], *,
