@@ -15,6 +15,7 @@ from vigil import fixed_values as FV
 from vigil.functions.geo import truncating_bin, valid_point
 from vigil.operators.interventions import validator_effectiveness
 from vigil.operators.spatial import hit_flags
+from vigil.session import materialize
 
 
 def spatial_accuracy(hotspots: DataFrame, actual: DataFrame, *,
@@ -38,21 +39,42 @@ def predicted_type_mass(hotspot_types: DataFrame) -> DataFrame:
     return mass.withColumn("normalised", F.try_divide(F.col("mass"), total))
 
 
-def type_vectors(hotspot_types: DataFrame, actual: DataFrame) -> DataFrame:
+def actual_parts(actual: DataFrame, size: float = FV.VALIDATION_BIN) -> tuple[DataFrame, DataFrame]:
+    """Category counts and the truncated-cell grid of the actual incidents in
+    ONE scan (GROUPING SETS): ``(category, actual)`` and
+    ``(lat_bin, lon_bin, actual_count)``."""
+    ok = valid_point("latitude", "longitude")
+    base = actual.select(F.col("category"),
+                         F.when(ok, truncating_bin("latitude", size)).alias("lat_bin"),
+                         F.when(ok, truncating_bin("longitude", size)).alias("lon_bin"))
+    gs = (base.groupingSets([["category"], ["lat_bin", "lon_bin"]], "category", "lat_bin", "lon_bin")
+          .agg(F.count("*").alias("n"), F.grouping_id().alias("gid")))
+    # grouping_id bits (category, lat_bin, lon_bin): 1 = aggregated away
+    counts = (gs.filter((F.col("gid") == 3) & F.col("category").isNotNull())
+              .select("category", F.col("n").alias("actual")))
+    grid = (gs.filter((F.col("gid") == 4) & F.col("lat_bin").isNotNull() & F.col("lon_bin").isNotNull())
+            .select("lat_bin", "lon_bin", F.col("n").alias("actual_count")))
+    return counts, grid
+
+
+def type_vectors(hotspot_types: DataFrame, actual: DataFrame | None,
+                 actual_counts: DataFrame | None = None) -> DataFrame:
     """Full outer join of actual counts and predicted mass per category
     (union of both key sets, 0 where absent)."""
-    act = (actual.filter(F.col("category").isNotNull())
-           .groupBy("category").agg(F.count("*").alias("actual")))
+    act = actual_counts if actual_counts is not None else (
+        actual.filter(F.col("category").isNotNull())
+        .groupBy("category").agg(F.count("*").alias("actual")))
     pred = predicted_type_mass(hotspot_types).select("category", F.col("mass").alias("predicted"))
     return (act.join(pred, "category", "full_outer")
             .select("category", F.coalesce("actual", F.lit(0)).alias("actual"),
                     F.coalesce("predicted", F.lit(0.0)).alias("predicted")))
 
 
-def type_accuracy(hotspot_types: DataFrame, actual: DataFrame) -> DataFrame:
+def type_accuracy(hotspot_types: DataFrame, actual: DataFrame | None,
+                  actual_counts: DataFrame | None = None) -> DataFrame:
     """Cosine similarity of actual counts and predicted mass; a zero vector
     gives 0.0 (normalising the prediction does not change the cosine)."""
-    v = type_vectors(hotspot_types, actual)
+    v = type_vectors(hotspot_types, actual, actual_counts)
     dot, na, nb = F.sum(F.col("actual") * F.col("predicted")), F.sum(F.col("actual") ** 2), \
         F.sum(F.col("predicted") ** 2)
     return v.agg(F.when((na > 0) & (nb > 0), dot / F.sqrt(na * nb)).otherwise(F.lit(0.0))
@@ -77,31 +99,34 @@ def predicted_grid(hotspots: DataFrame, size: float = FV.VALIDATION_BIN) -> Data
                  .alias("predicted_risk")))
 
 
-def risk_grid(hotspots: DataFrame, actual: DataFrame, size: float = FV.VALIDATION_BIN) -> DataFrame:
+def risk_grid(hotspots: DataFrame, actual: DataFrame | None, size: float = FV.VALIDATION_BIN,
+              grid: DataFrame | None = None) -> DataFrame:
     """Every actual cell with its predicted risk (0 when none)."""
-    return (actual_grid(actual, size).join(predicted_grid(hotspots, size),
+    g = grid if grid is not None else actual_grid(actual, size)
+    return (g.join(predicted_grid(hotspots, size),
                                            ["lat_bin", "lon_bin"], "left")
             .select("lat_bin", "lon_bin", "actual_count",
                     F.coalesce("predicted_risk", F.lit(0.0)).alias("predicted_risk")))
 
 
-def risk_correlation(hotspots: DataFrame, actual: DataFrame,
-                     size: float = FV.VALIDATION_BIN) -> DataFrame:
+def risk_correlation(hotspots: DataFrame, actual: DataFrame | None,
+                     size: float = FV.VALIDATION_BIN, grid: DataFrame | None = None) -> DataFrame:
     """Pearson correlation of actual counts and predicted risk over actual
     cells, floored at 0; fewer than 2 cells or zero variance gives 0.0."""
-    g = risk_grid(hotspots, actual, size)
+    g = risk_grid(hotspots, actual, size, grid)
     a, b = F.col("actual_count").cast("double"), F.col("predicted_risk")
     r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
     return g.agg(F.when(F.count("*") >= 2, F.greatest(F.coalesce(r, F.lit(0.0)), F.lit(0.0)))
                  .otherwise(F.lit(0.0)).alias("risk_correlation"))
 
 
-def cell_sets(hotspots: DataFrame, actual: DataFrame, size: float = FV.VALIDATION_BIN):
+def cell_sets(hotspots: DataFrame, actual: DataFrame | None, size: float = FV.VALIDATION_BIN,
+              grid: DataFrame | None = None):
     """Distinct predicted and actual truncated cells."""
     pred = (hotspots.filter(valid_point("lat", "lon"))
             .select(truncating_bin("lat", size).alias("lat_bin"),
                     truncating_bin("lon", size).alias("lon_bin")).distinct())
-    act = actual_grid(actual, size).select("lat_bin", "lon_bin")
+    act = (grid if grid is not None else actual_grid(actual, size)).select("lat_bin", "lon_bin")
     return pred, act
 
 
@@ -115,10 +140,10 @@ def false_positive_cells(hotspots: DataFrame, actual: DataFrame) -> DataFrame:
     return pred.subtract(act)
 
 
-def false_positive_rate(hotspots: DataFrame, actual: DataFrame,
-                        size: float = FV.VALIDATION_BIN) -> DataFrame:
+def false_positive_rate(hotspots: DataFrame, actual: DataFrame | None,
+                        size: float = FV.VALIDATION_BIN, grid: DataFrame | None = None) -> DataFrame:
     """FP / (TP + FP) over distinct predicted cells; no prediction gives 1.0."""
-    pred, act = cell_sets(hotspots, actual, size)
+    pred, act = cell_sets(hotspots, actual, size, grid)
     flagged = pred.join(act.withColumn("_seen", F.lit(True)), ["lat_bin", "lon_bin"], "left")
     return flagged.agg(F.when(F.count("*") > 0, F.count_if(F.col("_seen").isNull()) / F.count("*"))
                        .otherwise(F.lit(1.0)).alias("false_positive_rate"))
@@ -137,10 +162,17 @@ def validation_run(hotspots: DataFrame, hotspot_types: DataFrame, actual: DataFr
     ``run_ts`` (``yyyy-MM-dd HH:mm:ss``) stamps the run; the clock is a
     parameter, never read inside the operator.
     """
+    # actual incidents are read twice: per-row hit flags, and one GROUPING
+    # SETS pass (category counts + cell grid) checkpointed for three metrics
+    counts, grid = actual_parts(actual)
+    parts = materialize(counts.withColumn("_part", F.lit("c")).unionByName(
+        grid.withColumn("_part", F.lit("g")), allowMissingColumns=True))
+    counts = parts.filter(F.col("_part") == "c").select("category", "actual")
+    grid = parts.filter(F.col("_part") == "g").select("lat_bin", "lon_bin", "actual_count")
     s = spatial_accuracy(hotspots, actual, max_dist=max_dist).scalar()
-    t = type_accuracy(hotspot_types, actual).scalar()
-    c = risk_correlation(hotspots, actual).scalar()
-    f = false_positive_rate(hotspots, actual).scalar()
+    t = type_accuracy(hotspot_types, None, counts).scalar()
+    c = risk_correlation(hotspots, None, grid=grid).scalar()
+    f = false_positive_rate(hotspots, None, grid=grid).scalar()
     spark = hotspots.sparkSession
     row = spark.range(1).select(s.alias("spatial_accuracy"), t.alias("type_accuracy"),
                                 c.alias("risk_correlation"), f.alias("false_positive_rate"))
