@@ -15,7 +15,6 @@ from vigil import fixed_values as FV
 from vigil.functions.geo import truncating_bin, valid_point
 from vigil.operators.interventions import validator_effectiveness
 from vigil.operators.spatial import hit_flags
-from vigil.session import materialize
 
 
 def spatial_accuracy(hotspots: DataFrame, actual: DataFrame, *,
@@ -162,13 +161,9 @@ def validation_run(hotspots: DataFrame, hotspot_types: DataFrame, actual: DataFr
     ``run_ts`` (``yyyy-MM-dd HH:mm:ss``) stamps the run; the clock is a
     parameter, never read inside the operator.
     """
-    # actual incidents are read twice: per-row hit flags, and one GROUPING
-    # SETS pass (category counts + cell grid) checkpointed for three metrics
+    # actual incidents: per-row hit flags, and one GROUPING SETS aggregate
+    # (category counts + cell grid) whose exchange the three metrics share
     counts, grid = actual_parts(actual)
-    parts = materialize(counts.withColumn("_part", F.lit("c")).unionByName(
-        grid.withColumn("_part", F.lit("g")), allowMissingColumns=True))
-    counts = parts.filter(F.col("_part") == "c").select("category", "actual")
-    grid = parts.filter(F.col("_part") == "g").select("lat_bin", "lon_bin", "actual_count")
     s = spatial_accuracy(hotspots, actual, max_dist=max_dist).scalar()
     t = type_accuracy(hotspot_types, None, counts).scalar()
     c = risk_correlation(hotspots, None, grid=grid).scalar()
