@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing
+from . import bpe, chat, exact_dedup, packing, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op4_chat_format": chat.op4_chat_format,
+    "op8_warc_revisits": warc.op8_warc_revisits,
     "op10_packing": packing.op10_packing,
 }
 ORACLE = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op4_chat_format": chat.ORACLE,
 }
