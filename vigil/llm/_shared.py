@@ -95,23 +95,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _chunk_word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word start positions and 64-bit hashes of the words of one buffer."""
+def _span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of spans, from prefix sums."""
+    h = (prefix[ends] - prefix[starts]) * _power(_INVERSE, len(prefix))[starts]
+    return mix64(h ^ (ends - starts).astype(np.uint64))
+
+
+def _chunk_word_hashes(buf: np.ndarray, gap: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word start positions and 64-bit hashes of the words of one buffer, and of
+    their first ``stem`` bytes."""
     low = _LOWER[buf]
-    space = _IS_SPACE[low]
-    edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
+    edge = np.diff(np.concatenate(([True], gap[low], [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     prefix = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(buf)), out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * _power(_INVERSE, len(buf) + 1)[starts]
-    return starts, mix64(h ^ (ends - starts).astype(np.uint64))
-
-
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (A-Z lower-cased) of the texts, and where each text's
-    words begin (one entry more than texts).  Works on CHUNK_BYTES at a time;
-    a longer text is cut at white space."""
-    hashes, counts = [], np.zeros(len(texts), dtype=np.int64)
+    stems = _span_hashes(prefix, starts, np.minimum(ends, starts + stem)) if stem else starts[:0].astype(np.uint64)
+    return starts, _span_hashes(prefix, starts, ends), stems
+
+
+def words_and_stems(texts: list[str], gap: np.ndarray = _IS_SPACE,
+                    stem: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words (A-Z lower-cased) of the texts, where each text's
+    words begin (one entry more than texts), and hashes of the words' first
+    ``stem`` bytes.  ``gap`` marks the bytes between words; it must mark the
+    blank and the line feed.  Works on CHUNK_BYTES at a time; a longer text is
+    cut at white space."""
+    hashes, stems, counts = [], [], np.zeros(len(texts), dtype=np.int64)
     pending: list[bytes] = []
     owner: list[int] = []
     size = 0
@@ -123,11 +132,12 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lens = np.array([len(p) + 1 for p in pending])
         first = np.concatenate(([0], np.cumsum(lens)[:-1]))
         buf = np.frombuffer(b" ".join(pending) + b" ", dtype=np.uint8)
-        starts, h = _chunk_word_hashes(buf)
+        starts, h, s = _chunk_word_hashes(buf, gap, stem)
         at = np.searchsorted(starts, first)
         n = np.diff(np.concatenate((at, [len(starts)])))
         np.add.at(counts, owner, n)
         hashes.append(h)
+        stems.append(s)
         pending.clear()
         owner.clear()
         size = 0
@@ -140,8 +150,15 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             if size >= CHUNK_BYTES:
                 flush()
     flush()
-    all_h = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
-    return all_h, np.concatenate(([0], np.cumsum(counts)))
+    none = [np.zeros(0, dtype=np.uint64)]
+    return (np.concatenate(hashes or none), np.concatenate(([0], np.cumsum(counts))),
+            np.concatenate(stems or none))
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the white-space separated words of the texts, and where each
+    text's words begin."""
+    return words_and_stems(texts)[:2]
 
 
 def _cut(data: bytes) -> Iterator[bytes]:
@@ -157,15 +174,33 @@ def _cut(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
-def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Order-sensitive hashes of each run of ``size`` words; fewer words make
-    one shingle of all of them, no words none."""
-    if len(words) == 0:
-        return words
-    if len(words) < size:
-        size = len(words)
-    n = len(words) - size + 1
-    out = np.full(n, np.uint64(size))
+def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order-sensitive hashes of each run of ``size`` words of each text, and
+    where each text's shingles begin.  Fewer words make one shingle of all of
+    them, no words none."""
+    n_words = np.diff(first)
+    n = np.where(n_words >= size, n_words - size + 1, n_words > 0)
+    begin = np.concatenate(([0], np.cumsum(n)))
+    owner = np.repeat(np.arange(len(n)), n)
+    at = np.arange(begin[-1]) - begin[owner] + first[owner]
+    width = np.minimum(n_words, size)[owner]
+    padded = np.concatenate((words, np.zeros(size, dtype=np.uint64)))
+    out = width.astype(np.uint64)
     for j in range(size):
-        out = out * np.uint64(_BASE) + words[j:j + n]
-    return mix64(out)
+        word = padded[at + j]
+        word[j >= width] = 0
+        out = out * np.uint64(_BASE) + word
+    return mix64(out), begin
+
+
+def text_groups(texts: list[str], limit: int = CHUNK_BYTES) -> Iterator[list[str]]:
+    """Runs of texts of about ``limit`` characters."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t)
+        if size >= limit:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run

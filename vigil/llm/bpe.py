@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import CHUNK_BYTES, documents, id_and_text, prepare
+from ._shared import documents, id_and_text, prepare, text_groups
 
 # Unicode white space.
 WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680,
@@ -235,19 +235,6 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-def groups(texts: list[str], limit: int = CHUNK_BYTES) -> Iterator[list[str]]:
-    """Runs of texts of about ``limit`` characters."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t)
-        if size >= limit:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     bounds = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
     values = np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int32)
@@ -263,7 +250,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
         voc = vocabulary(ranks_path)
         for b in batches:
             at = 0
-            for part in groups(b.column(1).to_pylist()):
+            for part in text_groups(b.column(1).to_pylist()):
                 ids = voc.encode(part)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, len(part)), _lists(ids), _lists([voc.offsets(i) for i in ids])],

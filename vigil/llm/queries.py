@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, packing, warc
+from . import bpe, chat, exact_dedup, html_text, minhash, packing, simhash, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_chat_format": chat.op4_chat_format,
+    "op5_simhash": simhash.op5_simhash,
+    "op7_minhash_fingerprints": minhash.op7_minhash_fingerprints,
     "op8_warc_revisits": warc.op8_warc_revisits,
+    "op9_html_text": html_text.op9_html_text,
     "op10_packing": packing.op10_packing,
 }
 ORACLE = {
