@@ -39,6 +39,16 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(staged: DataFrame) -> None:
+    """Delete a staged table that no later step reads, and let Spark drop the
+    shuffle files of the steps before: bounds the scratch space."""
+    jvm = staged.sparkSession._jvm
+    for part in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(part)
+        path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that this application staged; call it once the
     results are written."""

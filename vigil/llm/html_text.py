@@ -13,6 +13,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -59,14 +60,21 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("", {})
         self.open = [self.root]
+        self.count: Counter = Counter()          # of open elements by tag
+
+    def _cut(self, k: int) -> None:
+        self.count.subtract(n.tag for n in self.open[k:])
+        del self.open[k:]
 
     def _close(self, kinds: set[str], border: set[str]) -> None:
+        if not any(self.count[t] for t in kinds):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in kinds:
                 # the outermost of these kinds that no border shields
                 while k > 1 and self.open[k - 1].tag in kinds:
                     k -= 1
-                del self.open[k:]
+                self._cut(k)
                 return
             if self.open[k].tag in border:
                 return
@@ -77,11 +85,12 @@ class TreeBuilder(HTMLParser):
         if tag in BLOCK:
             self._close({"p"}, _P_BORDER)
         if tag in BLOCK - {"html", "head", "body"} and len(self.open) > 1 and self.open[-1].tag == "head":
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)          # "/" means nothing outside void elements
@@ -90,10 +99,12 @@ class TreeBuilder(HTMLParser):
         if tag == "br":
             self.open[-1].children.append(Node("br", {}))
             return
+        if not self.count[tag]:
+            return
         border = {"table"} if tag not in ("table", "body", "html") else set()
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
-                del self.open[k:]
+                self._cut(k)
                 return
             if self.open[k].tag in border:
                 return

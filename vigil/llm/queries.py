@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, html_text, minhash, packing, simhash, toxicity, warc
+from . import bpe, chat, exact_dedup, html_text, minhash, packing, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_chat_format": chat.op4_chat_format,
     "op5_simhash": simhash.op5_simhash,
+    "op6_substring_dedup": substring.op6_substring_dedup,
     "op7_minhash_fingerprints": minhash.op7_minhash_fingerprints,
     "op8_warc_revisits": warc.op8_warc_revisits,
     "op9_html_text": html_text.op9_html_text,
