@@ -46,7 +46,13 @@ def discard(staged: DataFrame) -> None:
     for part in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(part)
         path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-    jvm.System.gc()
+    tidy(staged.sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished steps once the driver has
+    collected its garbage; after a large step that is worth asking for."""
+    spark._jvm.System.gc()
 
 
 def release(spark: SparkSession) -> None:
