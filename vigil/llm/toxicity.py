@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import documents, id_and_text, prepare, stage, text_groups, words_and_stems
+from ._shared import documents, id_and_text, prepare, stage, text_groups, tidy, words_and_stems
 
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 #: At most this many labelled rows (smallest hashes of their ids) train the model.
@@ -57,7 +58,7 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             (stems & np.uint64((1 << STEM_BITS) - 1)).astype(np.int64), begin)
 
 
-def _count(rows: DataFrame) -> pd.DataFrame:
+def _count(rows: DataFrame) -> pa.Table:
     """Documents by bucket and label: word buckets, then stem buckets, then one
     more for all documents.  At most as many rows as the tables have buckets."""
     total = (1 << WORD_BITS) + (1 << STEM_BITS)
@@ -80,26 +81,28 @@ def _count(rows: DataFrame) -> pd.DataFrame:
         yield pd.DataFrame({"bucket": some, "clean": counts[0, some], "toxic": counts[1, some]})
 
     return (rows.mapInPandas(run, "bucket long, clean long, toxic long")
-            .groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas())
+            .groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+            .select(*[F.col(c).cast("int").alias(c) for c in ("bucket", "clean", "toxic")]).toArrow())
 
 
 class Model:
     """Token log-odds and calibration; a few fixed-size arrays."""
 
-    def __init__(self, counts: pd.DataFrame):
-        total = (1 << WORD_BITS) + (1 << STEM_BITS)
-        table = np.zeros((2, total + 1))
-        table[:, counts["bucket"]] = counts[["clean", "toxic"]].to_numpy().T
-        docs, table = table[:, total], table[:, :total]
+    def __init__(self, counts: pa.Table):
+        split, total = 1 << WORD_BITS, (1 << WORD_BITS) + (1 << STEM_BITS)
+        clean, toxic = np.zeros(total + 1, dtype=np.float32), np.zeros(total + 1, dtype=np.float32)
+        for part in counts.to_batches():         # no second copy of the whole table
+            at = part.column(0).to_numpy()
+            clean[at], toxic[at] = part.column(1).to_numpy(), part.column(2).to_numpy()
+        docs = np.array([clean[total], toxic[total]], dtype=np.float64)
         self.usable = bool(docs.min() > 0)
         if not self.usable:
             return
-        # a toxic document weighs as much as all clean ones per toxic one: odds 1 when neutral
-        clean, toxic = table / docs[:, None] * docs.sum() / 2
-        split = 1 << WORD_BITS
-        self.stem = ((toxic[split:] + STEM_PRIOR / 2)
-                     / (clean[split:] + toxic[split:] + STEM_PRIOR)).astype(np.float32)
-        self.clean, self.toxic = clean[:split].astype(np.float32), toxic[:split].astype(np.float32)
+        # all clean documents weigh as much as all toxic ones: odds 1 when neutral
+        clean *= np.float32(docs.sum() / 2 / docs[0])
+        toxic *= np.float32(docs.sum() / 2 / docs[1])
+        self.stem = (toxic[split:total] + STEM_PRIOR / 2) / (clean[split:total] + toxic[split:total] + STEM_PRIOR)
+        self.clean, self.toxic = clean[:split].copy(), toxic[:split].copy()
         self.rate, self.k, self.slope, self.shift = 1.0, 1.0, 1.0, 0.0
 
     def token_scores(self, words: np.ndarray, stems: np.ndarray) -> np.ndarray:
@@ -233,6 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> M
            .withColumn("fold", fold(F.col("doc_id"))).where(F.col("fold") != HELD_OUT)
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels))
     rows = id_and_text(docs).join(F.broadcast(own), "doc_id")
+    tidy(spark)                                  # the counts come to a driver that may be small
     model = Model(_count(rows.where(F.col("fold") != CALIBRATION).select("text", "toxic")))
     if model.usable:
         _calibrate(model, spark, rows.where(F.col("fold") == CALIBRATION).select("text", "toxic"))
