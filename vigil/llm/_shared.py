@@ -13,6 +13,7 @@ from vigil.session import checkpoint_dir
 
 #: Rows of one Arrow batch: bounds what a Python worker holds of whole texts.
 BATCH_ROWS = 512
+BATCH_BYTES = 16 << 20
 #: Bytes of text that the vectorised code works on at a time.
 CHUNK_BYTES = 1 << 21
 
@@ -20,6 +21,7 @@ CHUNK_BYTES = 1 << 21
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings that the text operators rely on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

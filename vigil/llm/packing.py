@@ -108,17 +108,20 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _word_ids(tokenizer_path)
-        for f in frames:
-            rows = []
-            for doc_id, ids in zip(f["doc_id"], words.encode(f["text"].tolist()), strict=True):
-                ids += tail
-                n = len(ids) // 4
-                rows.extend((doc_id, a, min(window, n - a), n, ids[4 * a:4 * (a + window)])
-                            for a in range(0, n, window))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids"])
-            if f["doc_id"].isna().any():
-                out["doc_id"] = out["doc_id"].astype(object).where(out["doc_id"].notna(), None)
-            yield out
+        try:
+            for f in frames:
+                rows = []
+                for doc_id, ids in zip(f["doc_id"], words.encode(f["text"].tolist()), strict=True):
+                    ids += tail
+                    n = len(ids) // 4
+                    rows.extend((doc_id, a, min(window, n - a), n, ids[4 * a:4 * (a + window)])
+                                for a in range(0, n, window))
+                out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids"])
+                if f["doc_id"].isna().any():
+                    out["doc_id"] = out["doc_id"].astype(object).where(out["doc_id"].notna(), None)
+                yield out
+        finally:                                 # a reused worker keeps no words for other stages
+            words.cache.clear()
 
     return base.mapInPandas(cut, f"doc_id {id_type}, start long, length long, doc_tokens long, ids binary")
 
