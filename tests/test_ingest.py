@@ -55,3 +55,26 @@ def test_missing_source_is_unknown_and_inner_geocode(spark):
                             _gaz(spark), category_terms=TERMS, keywords=KW,
                             start="2024-01-01", end="2024-01-31").collect()
     assert [(r.article_id, r.location_name, r.latitude, r.source) for r in inc] == [(1, "Springfield", 1.0, "Unknown")]
+
+
+def test_repeated_places_count_once(spark):
+    from vigil.operators import extraction as X
+    gaz = spark.createDataFrame([("New Paris", 2.0, 3.0), ("New Paris", 2.0, 3.0), ("new paris", 9.0, 9.0)],
+                                "place string, latitude double, longitude double")
+    keys = X.gazetteer_keys(gaz).collect()
+    assert sorted((r.place, r.k, r.word) for r in keys) == [
+        ("New Paris", 0, "new"), ("New Paris", 1, "paris"), ("new paris", 0, "new"), ("new paris", 1, "paris")]
+    named = spark.createDataFrame([(1, "NEW PARIS"), (2, "nowhere")], "article_id int, location_name string")
+    got = sorted(map(tuple, X.geocode(named, gaz).select("article_id", "latitude", "longitude").collect()))
+    assert got == [(1, 2.0, 3.0), (2, None, None)]
+
+
+def test_scratch_folder_needs_a_local_master():
+    import pytest
+    from vigil import session
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host", "getCheckpointDir": staticmethod(lambda: None)})
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(Cluster)

@@ -95,8 +95,10 @@ def location_phrases(sents: DataFrame, patterns: list[str] = FV.LOCATION_PATTERN
 def gazetteer_keys(gazetteer: DataFrame, place: str = "place") -> DataFrame:
     """``place, k, word, n_words``: the normalised words of every name."""
     words = F.filter(X.tokens(F.col(place)), lambda t: t != "")
-    return (gazetteer.select(F.col(place).alias("place"), F.size(words).alias("n_words"),
-                             F.posexplode(words).alias("k", "word")))
+    # a place listed twice is one place: each word position votes once
+    return (gazetteer.select(F.col(place)).distinct()
+            .select(F.col(place).alias("place"), F.size(words).alias("n_words"),
+                    F.posexplode(words).alias("k", "word")))
 
 
 def _token_rows(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -164,8 +166,9 @@ def geocode(df: DataFrame, gazetteer: DataFrame, *, how: str = "left",
     """Attach ``latitude``/``longitude`` by normalised place name. The
     gazetteer side is left to AQE: broadcast when it measures small,
     shuffled hash/sort-merge join otherwise."""
-    g = gazetteer.select(X.normalise_name(F.col("place")).alias("_key"),
-                         F.col("latitude"), F.col("longitude"))
+    g = (gazetteer.groupBy(X.normalise_name(F.col("place")).alias("_key"))
+         .agg(F.min(F.struct("place", "latitude", "longitude")).alias("_g"))   # names that differ in case only: the first
+         .select("_key", "_g.latitude", "_g.longitude"))
     return (df.withColumn("_key", X.normalise_name(F.col(name)))
             .join(g, "_key", how).drop("_key"))
 
@@ -179,25 +182,29 @@ def incident_projection(df: DataFrame) -> DataFrame:
 
 def build_incidents(articles: DataFrame, gazetteer: DataFrame, *,
                     category_terms: list[tuple[str, str]], keywords: list[str],
-                    start: str, end: str, lang: str = FV.DEFAULT_LANG, k: int = FV.PAGE_SIZE,
+                    start: str, end: str, lang: str = FV.DEFAULT_LANG, k: int | None = None,
                     patterns=FV.LOCATION_PATTERNS, max_gap: int = FV.KEYWORD_MAX_GAP) -> DataFrame:
-    """Window → per-category top-k → location → inner geocode → incidents.
+    """Window → category rows (all of them, or the top ``k`` of each category)
+    → location → inner geocode → incidents.
 
     The location is extracted once per article and joined to its category
     rows (an article in several categories is processed once).
     """
     win = article_window(articles, start=start, end=end, lang=lang)
-    top = category_topk(category_fanout(win, category_terms), k)
+    top = category_fanout(win, category_terms)
+    top = top if k is None else category_topk(top, k)
     loc = location_extract(win.join(top.select("article_id").distinct(), "article_id", "left_semi"),
                            gazetteer, keywords, patterns=patterns, max_gap=max_gap)
     return incident_projection(geocode(top.join(loc, "article_id"), gazetteer, how="inner"))
 
 
 def ingest_counters(articles: DataFrame, gazetteer: DataFrame, **kw) -> DataFrame:
-    """``articles_fetched`` (category rows after top-k) and
+    """``articles_fetched`` (category rows, after top-k if ``k`` is given) and
     ``articles_with_location`` (incident rows)."""
     win = article_window(articles, start=kw["start"], end=kw["end"], lang=kw.get("lang", FV.DEFAULT_LANG))
-    fetched = category_topk(category_fanout(win, kw["category_terms"]), kw.get("k", FV.PAGE_SIZE))
+    fetched = category_fanout(win, kw["category_terms"])
+    if kw.get("k") is not None:
+        fetched = category_topk(fetched, kw["k"])
     inc = build_incidents(articles, gazetteer, **kw)
     return fetched.agg(F.count("*").alias("articles_fetched")).select(
         "articles_fetched", inc.agg(F.count("*")).scalar().alias("articles_with_location"))

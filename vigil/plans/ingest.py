@@ -171,7 +171,7 @@ _BUILD = ctes(window=FULL)
 
 @query("incident_build", f"""with {_BUILD} select t.article_id, strftime(w.published_at, '%Y-%m-%d') as date, w.title,
 w.description, t.category, l.location_name, g.latitude, g.longitude, coalesce(w.source_name, 'Unknown') as source
-from top t join loc l on l.article_id = t.article_id join gaz g on g.gram = lower(l.location_name)
+from fan t join loc l on l.article_id = t.article_id join gaz g on g.gram = lower(l.location_name)
 join win w on w.article_id = t.article_id""")
 def q_incident_build(spark, sf):
     inc = X.build_incidents(_articles(spark, sf), B.gazetteer(spark), category_terms=TERMS,
@@ -179,8 +179,8 @@ def q_incident_build(spark, sf):
     return inc.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
-@query("ingest_counters", f"""with {_BUILD} select (select count(*) from top) as articles_fetched,
-(select count(*) from top t join loc l on l.article_id = t.article_id join gaz g on g.gram = lower(l.location_name))
+@query("ingest_counters", f"""with {_BUILD} select (select count(*) from fan) as articles_fetched,
+(select count(*) from fan t join loc l on l.article_id = t.article_id join gaz g on g.gram = lower(l.location_name))
  as articles_with_location""")
 def q_ingest_counters(spark, sf):
     return X.ingest_counters(_articles(spark, sf), B.gazetteer(spark), category_terms=TERMS,

@@ -19,7 +19,7 @@ TRAIN = f"select * from ({INCIDENTS}) x where date < timestamp '2024-01-24 00:00
 ACTUAL = f"select * from ({INCIDENTS}) x where date >= timestamp '2024-01-24 00:00:00'"
 
 ARTICLES = """
-select doc_id as article_id, substr(text, 1, 40) as title,
+select doc_id as article_id, case when doc_id % 27 = 0 then text else substr(text, 1, 40) end as title,
        case when doc_id % 27 = 0 then null else text end as description, lang,
        case when doc_id % 11 = 0 then null else source end as source_name,
        cast(date '2024-01-01' + cast(doc_id % 30 as integer) as date) as published_at

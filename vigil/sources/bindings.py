@@ -68,7 +68,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     day_no = F.col("doc_id") % 30
     return d.select(
         F.col("doc_id").alias("article_id"),
-        F.substring("text", 1, 40).alias("title"),
+        F.when(F.col("doc_id") % 27 == 0, F.col("text")).otherwise(F.substring("text", 1, 40)).alias("title"),
         F.when(F.col("doc_id") % 27 == 0, F.lit(None).cast("string"))
          .otherwise(F.col("text")).alias("description"),
         F.col("lang"),
