@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,8 @@ END_TOKEN = 2
 SHARD_PIECES = 20_000
 #: Words whose ids a worker keeps; past that it starts anew.
 CACHE_WORDS = 500_000
+#: Words (the first met, hence the frequent ones) that stay after a task.
+KEPT_WORDS = 100_000
 TRAILING = b".,;:!?"
 
 _tokenizers: dict = {}
@@ -120,8 +123,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 if f["doc_id"].isna().any():
                     out["doc_id"] = out["doc_id"].astype(object).where(out["doc_id"].notna(), None)
                 yield out
-        finally:                                 # a reused worker keeps no words for other stages
-            words.cache.clear()
+        finally:                                 # a reused worker keeps few words for other stages
+            words.cache = dict(islice(words.cache.items(), KEPT_WORDS))
 
     return base.mapInPandas(cut, f"doc_id {id_type}, start long, length long, doc_tokens long, ids binary")
 
