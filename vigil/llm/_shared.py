@@ -13,9 +13,9 @@ from vigil.session import checkpoint_dir
 
 #: Rows of one Arrow batch: bounds what a Python worker holds of whole texts.
 BATCH_ROWS = 512
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 #: Bytes of text that the vectorised code works on at a time.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 18
 
 
 def prepare(spark: SparkSession) -> SparkSession:
