@@ -24,14 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import documents, id_and_text, prepare, stage
+from ._shared import documents, id_and_text, prepare, returning_memory, stage
 
 WINDOW = 4096
 END_TOKEN = 2
 #: Pieces that one task packs: bounds the memory of a group.
 SHARD_PIECES = 20_000
 #: Words whose ids a worker keeps; past that it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Words (the first met, hence the frequent ones) that stay after a task.
 KEPT_WORDS = 100_000
 TRAILING = b".,;:!?"
@@ -126,7 +126,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         finally:                                 # a reused worker keeps few words for other stages
             words.cache = dict(islice(words.cache.items(), KEPT_WORDS))
 
-    return base.mapInPandas(cut, f"doc_id {id_type}, start long, length long, doc_tokens long, ids binary")
+    return base.mapInPandas(returning_memory(cut), f"doc_id {id_type}, start long, length long, doc_tokens long, ids binary")
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:

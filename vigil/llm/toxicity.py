@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import documents, id_and_text, prepare, stage, text_groups, tidy, words_and_stems
+from ._shared import (documents, id_and_text, prepare, returning_memory, stage, text_groups, tidy,
+                      words_and_stems)
 
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 #: At most this many labelled rows (smallest hashes of their ids) train the model.
@@ -80,7 +81,7 @@ def _count(rows: DataFrame) -> pa.Table:
         some = np.flatnonzero(counts.any(axis=0))
         yield pd.DataFrame({"bucket": some, "clean": counts[0, some], "toxic": counts[1, some]})
 
-    return (rows.mapInPandas(run, "bucket long, clean long, toxic long")
+    return (rows.mapInPandas(returning_memory(run), "bucket long, clean long, toxic long")
             .groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
             .select(*[F.col(c).cast("int").alias(c) for c in ("bucket", "clean", "toxic")]).toArrow())
 
@@ -183,7 +184,7 @@ def _calibrate(model: Model, spark, rows: DataFrame) -> None:
             yield pd.DataFrame({"kind": 1, "toxic": 0, "n": hist[some], "bin": some - half,
                                 "scores": [np.zeros(0)] * len(some)})
 
-    seen = stage(rows.mapInPandas(run, "kind int, toxic int, n long, bin long, scores array<double>"),
+    seen = stage(rows.mapInPandas(returning_memory(run), "kind int, toxic int, n long, bin long, scores array<double>"),
                  "toxic-calibration")
     hist = seen.where("kind = 1").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
     if len(hist) and (hist["bin"] > 0).any():
@@ -276,7 +277,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
                             rows.append((None if pd.isna(doc_id) else int(doc_id), a, b - a, e))
             yield pd.DataFrame(rows, columns=["doc_id", "first_token", "n_tokens", "evidence"]).astype({"doc_id": "Int64"})
 
-    return base.mapInPandas(run, "doc_id long, first_token long, n_tokens long, evidence double")
+    return base.mapInPandas(returning_memory(run), "doc_id long, first_token long, n_tokens long, evidence double")
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
