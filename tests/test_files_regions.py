@@ -47,11 +47,35 @@ def test_corrupt_json_is_a_row_not_a_failure(spark, tmp_dir):
 
 
 def test_tracking_append_keeps_history(spark, tmp_dir):
-    rec = spark.createDataFrame([("h1", "police_patrol", "2024-01-01", 0.5, 10, 5, "")], files.TRACKING_SCHEMA)
+    from vigil.operators import interventions as I
+    rec = spark.createDataFrame([(1, "h1", "police_patrol", "2024-01-01", 0.5, 10, 5, "")], files.TRACKING_SCHEMA)
     p = os.path.join(tmp_dir, "tracking")
+    assert files.read_tracking(spark, p).count() == 0
     files.append_tracking(rec, p)
-    files.append_tracking(rec, p)
-    assert files.read_tracking(spark, p).count() == 2
+    files.append_tracking(rec.withColumn("record_id", F.lit(2).cast("long")).withColumn("effectiveness", F.lit(1.0)), p)
+    got = {r.record_id: r.recent for r in I.recent_effectiveness(files.read_tracking(spark, p)).collect()}
+    assert got == {1: 0.5, 2: 0.75}
+
+
+def test_missing_inputs_have_defaults(spark, tmp_dir):
+    gone = os.path.join(tmp_dir, "gone")
+    assert files.read_validation_runs(spark, gone).count() == 0
+    assert files.read_json_document(spark, gone + ".json", files.T.StructType(
+        [files.T.StructField("x", files.T.LongType())])).count() == 0
+    assert R.load_similarity(spark, gone).first().similar_regions == ["global"]
+    run = spark.createDataFrame([(0.1, 0.2, 0.3, 0.4, 0.5, False, None)], files.VALIDATION_RUN_SCHEMA)
+    files.append_validation_runs(run, gone)
+    files.append_validation_runs(run, gone)
+    assert files.read_validation_runs(spark, gone).count() == 2
+
+
+def test_spikes_look_back_over_calendar_days(spark):
+    import datetime as dt
+    day = dt.date(2024, 1, 1)
+    counts = spark.createDataFrame([("x", "t", day + dt.timedelta(k), n) for k, n in ((0, 7), (2, 7), (20, 5))],
+                                   "location_name string, category string, day date, n long")
+    got = {r.day.day: (r.mean, r.alert) for r in R.spike_alerts(counts).collect()}
+    assert got == {1: (None, False), 3: (1.0, False), 21: (None, False)}
 
 
 def test_region_upsert_idempotent_and_parse(spark):

@@ -20,15 +20,6 @@ def round_half_even(x, digits: int = 2) -> Column:
     return F.rint(_c(x) * scale) / scale
 
 
-def ratio(num, den) -> Column:
-    """``num / den`` as double, NULL when ``den`` is 0 (ANSI-safe)."""
-    return F.try_divide(_c(num).cast("double"), _c(den).cast("double"))
-
-
-def clamp(x, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(_c(x), F.lit(lo)), F.lit(hi))
-
-
 def round6(x) -> Column:
     """Stable 6-digit form for double results whose last bits depend on order."""
     return F.round(_c(x), 6)

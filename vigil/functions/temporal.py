@@ -32,13 +32,3 @@ def weekday_index(x) -> Column:
 
 def month_of(x) -> Column:
     return F.month(_c(x))
-
-
-def ymd(x) -> Column:
-    return F.date_format(_c(x), "yyyy-MM-dd")
-
-
-def day_range(x, start: str, end: str) -> Column:
-    """``start ≤ day(x) ≤ end`` at day granularity (both inclusive)."""
-    d = F.to_date(_c(x))
-    return d.between(F.lit(start).cast("date"), F.lit(end).cast("date"))

@@ -29,25 +29,11 @@ def tokens(text) -> Column:
     return F.split(F.lower(_c(text)), TOKEN_SPLIT)
 
 
-def contains_any(text, keywords: list[str]) -> Column:
-    """Lower-cased text contains any of the keywords (substring test)."""
-    low = F.lower(_c(text))
-    out = F.lit(False)
-    for k in keywords:            # plain OR of contains: stays in generated code
-        out = out | F.contains(low, F.lit(k.lower()))
-    return out
-
-
-def occurrences(text, term) -> Column:
-    """Non-overlapping occurrences of ``term`` in lower-cased text."""
-    low, t = F.lower(_c(text)), _c(term)
-    return ((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)).cast("bigint")
-
-
 def first_capture(text, patterns: list[str]) -> Column:
     """Array of the first group-1 capture of every pattern (case-insensitive),
-    trimmed; ``''`` where a pattern does not match."""
-    return F.array(*[F.trim(F.regexp_extract(_c(text), "(?i)" + p, 1)) for p in patterns])
+    without white space at its ends; ``''`` where a pattern does not match."""
+    return F.array(*[F.regexp_replace(F.regexp_extract(_c(text), "(?i)" + p, 1), r"^\s+|\s+$", "")
+                     for p in patterns])
 
 
 def normalise_name(name) -> Column:

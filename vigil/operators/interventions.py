@@ -106,8 +106,7 @@ def score_interventions(picked: DataFrame, history: DataFrame | None = None) ->
            * band_factor("risk_level"))
     if history is not None:
         h = history.select(F.col("intervention_type").alias("type"), F.col("recent"))
-        # one row per intervention type (closed vocabulary)
-        out = out.join(F.broadcast(h), "type", "left")
+        out = out.join(h, "type", "left")            # the caller's frame: no hint
         eff = F.when(F.col("recent").isNotNull(), (eff + F.col("recent")) / 2).otherwise(eff)
     return out.select(*[c for c in picked.columns if c not in ("type", "specific_actions")],
                       "type", F.coalesce("description", F.lit(FV.CUSTOM_INTERVENTION[0])).alias("description"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vigil import fixed_values as FV
 from vigil.sources import dimensions as dims
+from vigil.sources.files import path_exists
 
 
 def default_similarity(spark: SparkSession) -> DataFrame:
@@ -16,6 +17,14 @@ def default_similarity(spark: SparkSession) -> DataFrame:
                                  "region string, similar_regions array<string>, weights array<double>")
 
 
+def load_similarity(spark: SparkSession, path: str) -> DataFrame:
+    """The stored region documents (JSON), or the default one where none are."""
+    default = default_similarity(spark)
+    if not path_exists(spark, path):
+        return default
+    return spark.read.schema(default.schema).option("multiLine", True).json(path)
+
+
 def region_docs(edges: DataFrame) -> DataFrame:
     """Edge rows → one document per region with parallel arrays (a region's
     neighbour list is bounded by the number of regions)."""
@@ -81,13 +90,17 @@ def daily_counts(incidents: DataFrame, *, keys=("location_name", "category"),
 def spike_alerts(counts: DataFrame, *, keys=("location_name", "category"), window: int = 7,
                  k: float = 3.0) -> DataFrame:
     """Alert when a day's count exceeds mean + k·sd of the previous
-    ``window`` observed days of the same series.
+    ``window`` calendar days of the same series; days without a row count as
+    0, and a day with no row at all in its window has no mean and no alert.
 
     The window runs over already aggregated daily counts; a series holds one
     row per day, so each window partition is bounded by the number of days.
     """
-    w = Window.partitionBy(*keys).orderBy("day").rowsBetween(-window, -1)
-    mean, sd = F.avg("n").over(w), F.stddev_samp("n").over(w)
-    return (counts.select(*keys, "day", "n", mean.alias("mean"), sd.alias("sd"))
+    w = Window.partitionBy(*keys).orderBy(F.unix_date("day")).rangeBetween(-window, -1)
+    total, squares = F.sum("n").over(w), F.sum(F.col("n") * F.col("n")).over(w)
+    days = F.lit(float(window))
+    sd = F.sqrt(F.greatest((squares - total * total / days) / (days - 1), F.lit(0.0)))
+    return (counts.select(*keys, "day", "n", (total / days).alias("mean"),
+                          F.when(total.isNotNull(), sd).alias("sd"))
             .withColumn("alert", F.coalesce(F.col("n") > F.col("mean") + k * F.col("sd"),
                                             F.lit(False))))

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from vigil.session import checkpoint_dir, materialize
 
 _LOW_BITS = (1 << 33) - 1
-BROADCAST_ROWS = 200_000
 
 
 def rank_within(df: DataFrame, key: str, order: list[str], *, out: str = "seq",
@@ -42,9 +41,7 @@ def rank_within(df: DataFrame, key: str, order: list[str], *, out: str = "seq",
     w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     blocks = materialize(blocks.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
                          .select("_pid", key, "_first", "_before"))
-    # ≤ partitions + keys rows; broadcast only behind that measured bound
-    if blocks.count() <= BROADCAST_ROWS:
-        blocks = F.broadcast(blocks)
+    # ≤ partitions + keys rows; the join is left to measured sizes
     return (ranged.join(blocks, ["_pid", key])
             .select(*cols, (F.col("_before") + F.col("_pos") - F.col("_first") + 1).alias(out)))
 

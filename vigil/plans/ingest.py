@@ -41,7 +41,8 @@ def _patterns_sql() -> str:
     parts = []
     for i, p in enumerate(FV.LOCATION_PATTERNS):
         rx = "(?i)" + p.replace(r"\s", _WS)
-        parts.append(f"select article_id, s_idx, {i} as p_idx, trim(regexp_extract(sentence, {_sq(rx)}, 1)) as phrase from sents")
+        parts.append(f"select article_id, s_idx, {i} as p_idx, regexp_replace(regexp_extract(sentence, {_sq(rx)}, 1), "
+                     f"'^{_WS}+|{_WS}+$', '', 'g') as phrase from sents")
     return " union all ".join(parts)
 
 
@@ -86,6 +87,7 @@ loc as (select article_id, place as location_name from (select *, row_number() o
 
 
 _EN = ctes()
+_ALL = ctes(lang_filter="true")          # language plays a part in the fetch only
 
 
 def _articles(spark, sf):
@@ -127,41 +129,41 @@ def q_topk(spark, sf):
         "article_id", "category", "relevance")
 
 
-@query("crime_sentences", f"with {_EN} select article_id, cast(s_idx as integer) as s_idx, sentence from sents")
+@query("crime_sentences", f"with {_ALL} select article_id, cast(s_idx as integer) as s_idx, sentence from sents")
 def q_crime_sentences(spark, sf):
-    return X.crime_sentences(_en(spark, sf), KEYWORDS)
+    return X.crime_sentences(_articles(spark, sf), KEYWORDS)
 
 
-@query("location_phrases", f"with {_EN} select article_id, cast(s_idx as integer) as s_idx, p_idx, phrase from phr")
+@query("location_phrases", f"with {_ALL} select article_id, cast(s_idx as integer) as s_idx, p_idx, phrase from phr")
 def q_location_phrases(spark, sf):
-    return X.location_phrases(X.crime_sentences(_en(spark, sf), KEYWORDS))
+    return X.location_phrases(X.crime_sentences(_articles(spark, sf), KEYWORDS))
 
 
-@query("location_near_keyword", f"with {_EN} select article_id, cast(s_idx as integer) as s_idx, cast(pos as integer) as pos, place from near")
+@query("location_near_keyword", f"with {_ALL} select article_id, cast(s_idx as integer) as s_idx, cast(pos as integer) as pos, place from near")
 def q_near(spark, sf):
-    sents = X.crime_sentences(_en(spark, sf), KEYWORDS)
+    sents = X.crime_sentences(_articles(spark, sf), KEYWORDS)
     c = X.proximity_candidates(sents, X.gazetteer_keys(B.gazetteer(spark)), KEYWORDS)
     return c.select("article_id", "s_idx", "pos", "place")
 
 
-@query("location_extract", f"with {_EN} select article_id, location_name from loc")
+@query("location_extract", f"with {_ALL} select article_id, location_name from loc")
 def q_location_extract(spark, sf):
-    return X.location_extract(_en(spark, sf), B.gazetteer(spark), KEYWORDS)
+    return X.location_extract(_articles(spark, sf), B.gazetteer(spark), KEYWORDS)
 
 
-@query("geocode_left", f"""with {_EN} select w.article_id, l.location_name, g.latitude, g.longitude
+@query("geocode_left", f"""with {_ALL} select w.article_id, l.location_name, g.latitude, g.longitude
 from win w left join loc l on l.article_id = w.article_id left join gaz g on g.gram = lower(l.location_name)""")
 def q_geocode_left(spark, sf):
-    en = _en(spark, sf)
-    loc = X.location_extract(en, B.gazetteer(spark), KEYWORDS)
-    return X.geocode(en.select("article_id").join(loc, "article_id", "left"), B.gazetteer(spark)).select(
+    arts = _articles(spark, sf)
+    loc = X.location_extract(arts, B.gazetteer(spark), KEYWORDS)
+    return X.geocode(arts.select("article_id").join(loc, "article_id", "left"), B.gazetteer(spark)).select(
         "article_id", "location_name", "latitude", "longitude")
 
 
-@query("geocode_inner", f"""with {_EN} select l.article_id, l.location_name, g.latitude, g.longitude
+@query("geocode_inner", f"""with {_ALL} select l.article_id, l.location_name, g.latitude, g.longitude
 from loc l join gaz g on g.gram = lower(l.location_name)""")
 def q_geocode_inner(spark, sf):
-    loc = X.location_extract(_en(spark, sf), B.gazetteer(spark), KEYWORDS)
+    loc = X.location_extract(_articles(spark, sf), B.gazetteer(spark), KEYWORDS)
     return X.geocode(loc, B.gazetteer(spark), how="inner").select(
         "article_id", "location_name", "latitude", "longitude")
 
@@ -187,19 +189,19 @@ def q_ingest_counters(spark, sf):
                              keywords=KEYWORDS, start=FULL[0], end=FULL[1])
 
 
-@query("relevance_tag", f"""with {_EN} select w.article_id, l.location_name is not null as relevant
+@query("relevance_tag", f"""with {_ALL} select w.article_id, l.location_name is not null as relevant
 from win w left join loc l on l.article_id = w.article_id""")
 def q_relevance(spark, sf):
-    return X.relevance_tag(_en(spark, sf), B.gazetteer(spark), KEYWORDS)
+    return X.relevance_tag(_articles(spark, sf), B.gazetteer(spark), KEYWORDS)
 
 
-@query("incident_projection", f"""with {_EN} select f.article_id, strftime(w.published_at, '%Y-%m-%d') as date,
+@query("incident_projection", f"""with {_ALL} select f.article_id, strftime(w.published_at, '%Y-%m-%d') as date,
 w.title, w.description, f.category, l.location_name, g.latitude, g.longitude, coalesce(w.source_name, 'Unknown') as source
 from fan f join loc l on l.article_id = f.article_id join gaz g on g.gram = lower(l.location_name)
 join win w on w.article_id = f.article_id""")
 def q_incident_projection(spark, sf):
-    en = _en(spark, sf)
-    loc = X.location_extract(en, B.gazetteer(spark), KEYWORDS)
-    fan = X.category_fanout(en, TERMS)
+    arts = _articles(spark, sf)
+    loc = X.location_extract(arts, B.gazetteer(spark), KEYWORDS)
+    fan = X.category_fanout(arts, TERMS)
     inc = X.incident_projection(X.geocode(fan.join(loc, "article_id"), B.gazetteer(spark), how="inner"))
     return inc.withColumn("date", F.date_format("date", "yyyy-MM-dd"))

@@ -106,10 +106,13 @@ def q_risk_index(spark, sf):
 
 
 @query("spike_alerts", f"""with inc as ({INCIDENTS}),
-dc as (select location_name, category, cast(date as date) as day, count(*) as n from inc group by 1, 2, 3)
-select location_name, category, strftime(day, '%Y-%m-%d') as day, n, round(avg(n) over w, 6) as mean,
-round(stddev_samp(n) over w, 6) as sd, coalesce(n > avg(n) over w + 3e0*stddev_samp(n) over w, false) as alert
-from dc window w as (partition by location_name, category order by day rows between 7 preceding and 1 preceding)""")
+dc as (select location_name, category, cast(date as date) as day, count(*) as n from inc group by 1, 2, 3),
+tot as (select *, cast(sum(n) over w as double) as t, cast(sum(n*n) over w as double) as q from dc
+window w as (partition by location_name, category order by day
+             range between interval 7 days preceding and interval 1 day preceding)),
+st as (select *, t/7e0 as mean, case when t is not null then sqrt(greatest((q - t*t/7e0)/6e0, 0e0)) end as sd from tot)
+select location_name, category, strftime(day, '%Y-%m-%d') as day, n, round(mean, 6) as mean, round(sd, 6) as sd,
+coalesce(n > mean + 3e0*sd, false) as alert from st""")
 def q_spikes(spark, sf):
     s = R.spike_alerts(R.daily_counts(B.incidents(spark, sf)))
     return s.select("location_name", "category", F.date_format("day", "yyyy-MM-dd").alias("day"), "n",

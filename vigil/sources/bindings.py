@@ -78,10 +78,6 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def category_terms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEST_CATEGORY_TERMS, "category string, term string")
-
-
 def gazetteer(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TEST_GAZETTEER, "place string, latitude double, longitude double")
 

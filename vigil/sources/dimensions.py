@@ -29,13 +29,5 @@ def rule_crime_types() -> list[str]:
     return sorted({c for c, _, _ in FV.INTERVENTION_RULES if c != "*"})
 
 
-def band_factors(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FV.BAND_FACTORS, "risk_level string, factor double")
-
-
 def risk_factor_weights(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FV.RISK_FACTOR_WEIGHTS, "factor string, weight double")
-
-
-def category_markers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FV.CATEGORY_MARKERS, "category string, marker string")

@@ -32,6 +32,7 @@ ARTICLE_SCHEMA = T.StructType([
 ])
 
 TRACKING_SCHEMA = T.StructType([
+    T.StructField("record_id", T.LongType()),
     T.StructField("hotspot_id", T.StringType()),
     T.StructField("intervention_type", T.StringType()),
     T.StructField("implementation_date", T.StringType()),
@@ -41,6 +42,13 @@ TRACKING_SCHEMA = T.StructType([
     T.StructField("notes", T.StringType()),
 ])
 
+VALIDATION_RUN_SCHEMA = T.StructType([
+    *[T.StructField(c, T.DoubleType()) for c in ("spatial_accuracy", "type_accuracy", "risk_correlation",
+                                                 "false_positive_rate", "overall_accuracy")],
+    T.StructField("passed", T.BooleanType()),
+    T.StructField("ts", T.TimestampType()),
+])
+
 
 def read_incident_csv(spark: SparkSession, path: str) -> DataFrame:
     """Incident CSV with quoted multi-line fields and doubled quotes: one
@@ -61,8 +69,11 @@ def write_incidents(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def read_json_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Whole-document JSON with a ``_corrupt_record`` column: corrupt input
-    surfaces as a row with the raw text instead of failing the job."""
+    surfaces as a row with the raw text instead of failing the job, and a
+    missing file gives no rows."""
     full = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], full)
     return (spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
 
@@ -95,8 +106,22 @@ def append_tracking(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("intervention_type").parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether any file matches the path (local, HDFS, object stores; globs)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
+def _log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """An append log; before its first append it has no rows."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_tracking(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TRACKING_SCHEMA).parquet(path)
+    return _log(spark, path, TRACKING_SCHEMA)
 
 
 def append_validation_runs(df: DataFrame, path: str) -> None:
@@ -105,18 +130,7 @@ def append_validation_runs(df: DataFrame, path: str) -> None:
 
 
 def read_validation_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
-def write_table_checkpoint(df: DataFrame, name: str) -> DataFrame:
-    """Materialise ``df`` as Parquet in the shared checkpoint folder and read
-    it back: cuts the lineage; a lost executor re-reads the files."""
-    from vigil.session import checkpoint_dir
-    import uuid
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return _log(spark, path, VALIDATION_RUN_SCHEMA)
 
 
 def land_articles(df: DataFrame, path: str) -> None:

@@ -13,9 +13,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     """Read one table; naming the columns keeps ReadSchema minimal."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
-
-
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    """Expose every table as a temp view (SQL API users, oracle parity)."""
-    for name in TABLES:
-        read_table(spark, sf_dir, name).createOrReplaceTempView(name)
