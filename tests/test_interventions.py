@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from vigil.operators import interventions as I
 from vigil.operators.sequence import rank_within
 from vigil.sources import bindings as B

@@ -4,7 +4,7 @@ scripts/oracle_check.py): same column names and the same multiset of rows."""
 import duckdb
 import pytest
 
-from conftest import SF01
+from paths import SF01
 from vigil.sources.tables import TABLES
 
 NAMES = ["hotspots", "analysis_summary", "risk_amplifiers", "recommendations", "validation_run",

@@ -3,7 +3,7 @@ and no nested-loop joins in the key queries."""
 
 import pytest
 
-from conftest import SF01
+from paths import SF01
 from vigil.operators import extraction as X
 from vigil.operators import grid, spatial
 from vigil.sources import bindings as B

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from vigil.operators import learn as M
 from vigil.streaming import jobs as S
 
