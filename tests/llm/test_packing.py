@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -82,3 +83,15 @@ def test_many_shards(spark, sf001):
     out = packing.pack(pieces.select("doc_id", "start", "length"), shard_pieces=50)
     per = out.groupBy("sequence_id").sum("length").toPandas()["sum(length)"]
     assert out.count() == pieces.count() and per.max() <= packing.WINDOW
+
+
+def test_ids_of_odd_words_are_the_tokenizers():
+    """Words of letters on both sides of the fast path, marks, signs that
+    combine, several kinds of white space and control strings."""
+    words = packing.WordIds(PATH)
+    rng = random.Random(5)
+    signs = [*"abcZÉßÅİıŉǅªº×÷ñ.,;:!?'`’…-_$&%019²½ΣςσӨ中ーﬁ́̇ͅ \t\n\x85€😀", "'s", "'ll", "<|endoftext|>"]
+    for _ in range(4000):
+        text = "".join(rng.choices(signs, k=rng.randint(0, 14)))
+        want = np.array(MODEL.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert words.encode([text]) == [want], text

@@ -16,6 +16,7 @@ full.
 from __future__ import annotations
 
 import math
+import string
 from collections.abc import Iterator
 from itertools import islice
 
@@ -30,26 +31,61 @@ WINDOW = 4096
 END_TOKEN = 2
 #: Pieces that one task packs: bounds the memory of a group.
 SHARD_PIECES = 20_000
-#: Words whose ids a worker keeps; past that it starts anew.
-CACHE_WORDS = 200_000
-#: Words (the first met, hence the frequent ones) that stay after a task.
-KEPT_WORDS = 100_000
-TRAILING = b".,;:!?"
+#: Words whose ids a worker keeps.
+CACHE_WORDS = 400_000
+#: Words (the first met, hence the frequent ones) that stay past that, and after a task.
+KEPT_WORDS = 200_000
+#: Signs that are cut off the end of a word before it is looked up.
+TRAILING = string.punctuation.encode()
+#: Fixed value: the mark of vocabulary entries that end a piece.
+END_OF_WORD = "</w>"
 
 _tokenizers: dict = {}
 
 
+def _latin(word: bytes) -> bool:
+    """Whether all of it is letters below U+0250 that lower to one letter each."""
+    if word.isascii():
+        return word.isalpha()
+    try:
+        text = word.decode("utf-8")
+    except UnicodeDecodeError:                   # the end of a longer character
+        return False
+    return text.isalpha() and max(text) < "\u0250" and "\u0130" not in text
+
+
 class WordIds:
     """Ids of a text by a word-level cache around a ``tokenizers`` model whose
     normaliser drops white space and lower-cases: words do not influence each
     other, so each distinct word is encoded once."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        # of Latin letters the normaliser only lowers the case, and a run of them is one piece
+        self.plain = Tokenizer(self.model.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.model.get_vocab(with_added_tokens=False)
+        self.closing = np.zeros(max(vocab.values()) + 1, dtype=bool)     # ids that end a piece
+        self.closing[[i for t, i in vocab.items() if t.endswith(END_OF_WORD)]] = True
         self.cache: dict[bytes, bytes] = {}
 
+    def _learn_letters(self, words: list[bytes]) -> None:
+        """Encode unknown runs of Latin letters, many in one call; the ids that
+        end a word tell where to cut."""
+        text = b" ".join(words).decode("utf-8").lower()
+        enc = self.plain.encode_batch_fast([text], add_special_tokens=False)[0]
+        ids = np.array(enc.ids, dtype="<u4")
+        cut = (4 * (np.flatnonzero(self.closing[ids]) + 1)).tolist()
+        if len(cut) != len(words):               # a vocabulary without end marks
+            return self._learn(words)
+        data, first = ids.tobytes(), 0
+        for w, last in zip(words, cut, strict=True):
+            self.cache[w] = data[first:last]
+            first = last
+
     def _learn(self, words: list[bytes]) -> None:
         """Encode unknown words, many in one call, and cut the ids by offset."""
         texts = [w.decode("utf-8") for w in words]
@@ -66,33 +102,42 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         docs = [t.encode("utf-8").lower().split() for t in texts]
+        if len(self.cache) > CACHE_WORDS:
+            self.trim()
         cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
         new = set().union(*docs).difference(cache) if docs else set()
         split, learn = [], set()
         for w in new:
             base = w.rstrip(TRAILING)
-            # ASCII only: there the pieces before and after the mark are independent
-            if base and base != w and w.isascii() and (base[-1:].isalnum()):
+            # after a letter or digit the mark begins a piece of its own
+            if base and base != w and (base[-1:].isalnum() or _latin(base[-2:])):
                 split.append((w, base, w[len(base):]))
                 learn.update((base, w[len(base):]))
             else:
                 learn.add(w)
-        learn.difference_update(cache)
-        batch, size = [], 0
+        letters, others = [], []
         for w in learn:
-            batch.append(w)
-            size += len(w) + 1
-            if size > 1 << 16:
-                self._learn(batch)
-                batch, size = [], 0
-        if batch:
-            self._learn(batch)
+            if w not in cache:
+                (letters if _latin(w) else others).append(w)
+        for known, learner in ((letters, self._learn_letters), (others, self._learn)):
+            batch, size = [], 0
+            for w in known:
+                batch.append(w)
+                size += len(w) + 1
+                if size > 1 << 16:
+                    learner(batch)
+                    batch, size = [], 0
+            if batch:
+                learner(batch)
         for w, base, mark in split:
             cache[w] = cache[base] + cache[mark]
         return [b"".join(map(cache.__getitem__, d)) for d in docs]
 
+    def trim(self) -> None:
+        """Keep the words met first."""
+        if len(self.cache) > KEPT_WORDS:
+            self.cache = dict(islice(self.cache.items(), KEPT_WORDS))
+
 
 def _word_ids(path: str) -> WordIds:
     if path not in _tokenizers:
@@ -124,7 +169,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                     out["doc_id"] = out["doc_id"].astype(object).where(out["doc_id"].notna(), None)
                 yield out
         finally:                                 # a reused worker keeps few words for other stages
-            words.cache = dict(islice(words.cache.items(), KEPT_WORDS))
+            words.trim()
 
     return base.mapInPandas(returning_memory(cut), f"doc_id {id_type}, start long, length long, doc_tokens long, ids binary")
 
