@@ -54,6 +54,14 @@ def _latin(word: bytes) -> bool:
     return text.isalpha() and max(text) < "\u0250" and "\u0130" not in text
 
 
+class _Known(dict):
+    """Ids by word; a word with trailing signs is put together, not kept."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        base = word.rstrip(TRAILING)
+        return self[base] + self[word[len(base):]]
+
+
 class WordIds:
     """Ids of a text by a word-level cache around a ``tokenizers`` model whose
     normaliser drops white space and lower-cases: words do not influence each
@@ -70,7 +78,7 @@ class WordIds:
         vocab = self.model.get_vocab(with_added_tokens=False)
         self.closing = np.zeros(max(vocab.values()) + 1, dtype=bool)     # ids that end a piece
         self.closing[[i for t, i in vocab.items() if t.endswith(END_OF_WORD)]] = True
-        self.cache: dict[bytes, bytes] = {}
+        self.cache = _Known()
 
     def _learn_letters(self, words: list[bytes]) -> None:
         """Encode unknown runs of Latin letters, many in one call; the ids that
@@ -106,13 +114,13 @@ class WordIds:
             self.trim()
         cache = self.cache
         new = set().union(*docs).difference(cache) if docs else set()
-        split, learn = [], set()
+        learn = set()
         for w in new:
             base = w.rstrip(TRAILING)
             # after a letter or digit the mark begins a piece of its own
             if base and base != w and (base[-1:].isalnum() or _latin(base[-2:])):
-                split.append((w, base, w[len(base):]))
-                learn.update((base, w[len(base):]))
+                learn.add(base)
+                learn.add(w[len(base):])
             else:
                 learn.add(w)
         letters, others = [], []
@@ -129,14 +137,12 @@ class WordIds:
                     batch, size = [], 0
             if batch:
                 learner(batch)
-        for w, base, mark in split:
-            cache[w] = cache[base] + cache[mark]
         return [b"".join(map(cache.__getitem__, d)) for d in docs]
 
     def trim(self) -> None:
         """Keep the words met first."""
         if len(self.cache) > KEPT_WORDS:
-            self.cache = dict(islice(self.cache.items(), KEPT_WORDS))
+            self.cache = _Known(islice(self.cache.items(), KEPT_WORDS))
 
 
 def _word_ids(path: str) -> WordIds:
