@@ -21,7 +21,7 @@ def euclidean(lat1, lon1, lat2, lon2) -> Column:
 
 
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
-    """Great-circle distance in km, an opt-in metric for the distance joins."""
+    """Great-circle distance in km; no join uses it."""
     p1, p2 = F.radians(_c(lat1)), F.radians(_c(lat2))
     dp, dl = p2 - p1, F.radians(_c(lon2)) - F.radians(_c(lon1))
     a = F.pow(F.sin(dp / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(dl / 2), 2)
