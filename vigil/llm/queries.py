@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, html_text, minhash, packing, simhash, substring, toxicity, warc
+from . import (bpe, chat, exact_dedup, fill_in_middle, filter_audit, html_text, minhash, packing, simhash, substring,
+               toxicity, warc)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,8 +16,12 @@ QUERIES = {
     "op8_warc_revisits": warc.op8_warc_revisits,
     "op9_html_text": html_text.op9_html_text,
     "op10_packing": packing.op10_packing,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 ORACLE = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op4_chat_format": chat.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op13_fill_in_middle": fill_in_middle.ORACLE,
 }
