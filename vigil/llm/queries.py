@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (bpe, chat, exact_dedup, fill_in_middle, filter_audit, html_text, minhash, packing, simhash, substring,
-               toxicity, warc)
+               suffix_dedup, toxicity, warc)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_html_text": html_text.op9_html_text,
     "op10_packing": packing.op10_packing,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 ORACLE = {
