@@ -61,9 +61,8 @@ def test_repeated_places_count_once(spark):
     from vigil.operators import extraction as X
     gaz = spark.createDataFrame([("New Paris", 2.0, 3.0), ("New Paris", 2.0, 3.0), ("new paris", 9.0, 9.0)],
                                 "place string, latitude double, longitude double")
-    keys = X.gazetteer_keys(gaz).collect()
-    assert sorted((r.place, r.k, r.word) for r in keys) == [
-        ("New Paris", 0, "new"), ("New Paris", 1, "paris"), ("new paris", 0, "new"), ("new paris", 1, "paris")]
+    grams = X.gazetteer_grams(gaz).collect()
+    assert sorted((r.place, r.gram, r.n_words) for r in grams) == [("New Paris", "new paris", 2), ("new paris", "new paris", 2)]
     named = spark.createDataFrame([(1, "NEW PARIS"), (2, "nowhere")], "article_id int, location_name string")
     got = sorted(map(tuple, X.geocode(named, gaz).select("article_id", "latitude", "longitude").collect()))
     assert got == [(1, 2.0, 3.0), (2, None, None)]
@@ -78,3 +77,33 @@ def test_scratch_folder_needs_a_local_master():
         sparkContext = type("S", (), {"master": "spark://host", "getCheckpointDir": staticmethod(lambda: None)})
     with pytest.raises(ValueError):
         session.checkpoint_dir(Cluster)
+
+
+def test_names_of_any_script(spark):
+    gaz = spark.createDataFrame([("北京", 1.0, 1.0), ("東京", 2.0, 2.0), ("???", 3.0, 3.0), ("Köln", 4.0, 4.0), ("Kéln", 5.0, 5.0),
+                                 ("Нижний Новгород", 6.0, 6.0), ("दिल्ली", 7.0, 7.0)], GAZ)
+    rows = [(1, None, "Murder near 東京", "en", None, None), (2, None, "A murder in KÖLN.", "en", None, None),
+            (3, None, "robbery happened in нижний новгород!", "en", None, None), (4, None, "murder in Kéln", "en", None, None),
+            (5, None, "murder: दिल्ली", "en", None, None), (6, None, "murder in ???", "en", None, None)]
+    loc = X.location_extract(_articles(spark, rows), gaz, KW, keep_all=True)
+    got = {r.article_id: (r.location_name, r.latitude) for r in X.geocode(loc, gaz).collect()}
+    assert got == {1: ("東京", 2.0), 2: ("Köln", 4.0), 3: ("Нижний Новгород", 6.0), 4: ("Kéln", 5.0), 5: ("दिल्ली", 7.0), 6: (None, None)}
+
+
+def test_articles_without_a_place_are_kept_on_demand(spark):
+    rows = [(1, None, None, "en", None, None), (2, "quiet", "Nothing. At all.", "en", None, None),
+            (3, "murder", "Murder in Springfield. A robbery in Shelbyville.", "en", None, None), (4, None, "robbery robbery", "en", None, None)]
+    got = X.location_extract(_articles(spark, rows), _gaz(spark), KW, keep_all=True).collect()
+    assert sorted((r.article_id, r.location_name) for r in got) == [(1, None), (2, None), (3, "Springfield"), (4, None)]
+    assert X.location_extract(_articles(spark, rows), _gaz(spark).limit(0), KW).count() == 0
+    tags = X.relevance_tag(_articles(spark, rows), _gaz(spark).limit(0), KW).collect()
+    assert sorted((r.article_id, r.relevant) for r in tags) == [(k, False) for k in (1, 2, 3, 4)]
+
+
+def test_names_that_share_words_give_hits_only(spark):
+    n = 5000
+    gaz = spark.createDataFrame([(f"Saint X{k}", 1.0, float(k)) for k in range(n)] + [("Saint", 0.0, 0.0)], GAZ)
+    rows = [(k, None, f"robbery near Saint X{k} Saint X{k + 1}", "en", None, None) for k in range(20)]
+    sents = X.crime_sentences(_articles(spark, rows), KW)
+    hits = X.proximity_candidates(sents, gaz, KW).collect()
+    assert len(hits) == 20 * 4               # Saint and Saint X, at two places

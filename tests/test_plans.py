@@ -44,3 +44,22 @@ def test_no_nested_loop_joins(spark, name):
     import __spark_entry__ as E
     plan = _plan(E.queries()[name](spark, SF01))
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def _scans(plan, table):
+    """Scans of a table in the final plan, node by node."""
+    import re
+    final = plan.split("+- == Initial Plan ==")[0]
+    return len(re.findall(r"FileScan parquet [^\n]*" + table, final))
+
+
+@pytest.mark.parametrize("name", ["location_extract", "relevance_tag", "geocode_left", "location_near_keyword"])
+def test_text_is_scanned_once(spark, name):
+    import __spark_entry__ as E
+    assert _scans(_plan(E.queries()[name](spark, SF01)), "documents.parquet") == 1
+
+
+@pytest.mark.parametrize("name", ["incident_build", "incident_projection", "ingest_counters"])
+def test_incidents_read_the_written_category_rows(spark, name):
+    import __spark_entry__ as E
+    assert _scans(_plan(E.queries()[name](spark, SF01)), "documents.parquet") == 0

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 # Sentence boundary: whitespace preceded by . ! or ?
 SENTENCE_SPLIT = r"(?<=[.!?])\s+"
-TOKEN_SPLIT = r"\W+"
+# Between words: anything but letters, marks, digits and _ of any script
+TOKEN_SPLIT = r"[^\p{L}\p{M}\p{N}_]+"
 
 
 def _c(x) -> Column:
@@ -37,5 +38,6 @@ def first_capture(text, patterns: list[str]) -> Column:
 
 
 def normalise_name(name) -> Column:
-    """Gazetteer key: lower case, word tokens joined by single spaces."""
-    return F.array_join(F.filter(tokens(name), lambda t: t != ""), " ")
+    """Gazetteer key: lower case, word tokens joined by single spaces; null for
+    a name without words."""
+    return F.nullif(F.array_join(F.array_remove(tokens(name), ""), " "), F.lit(""))

@@ -18,6 +18,7 @@ WIN = ("2024-01-08", "2024-01-14")
 FULL = ("2024-01-01", "2024-01-30")
 
 _WS = r"[ \t\n\x0B\f\r]"
+_GAP = r"[^\p{L}\p{M}\p{N}_]+"
 
 
 def _sq(s: str) -> str:
@@ -70,13 +71,13 @@ s0 as (select article_id, string_split(regexp_replace(concat_ws(' ', title, desc
 s1 as (select article_id, unnest(arr) as sentence, unnest(generate_series(0, len(arr) - 1)) as s_idx from s0),
 sents as (select * from s1 where {_kw_any('sentence')}),
 phr as (select * from ({_patterns_sql()}) z where phrase <> ''),
-ptok0 as (select article_id, s_idx, p_idx, string_split_regex(lower(phrase), '\\W+') as arr from phr),
+ptok0 as (select article_id, s_idx, p_idx, string_split_regex(lower(phrase), '{_GAP}') as arr from phr),
 ptok as (select article_id, s_idx, p_idx, unnest(arr) as tok, unnest(generate_series(0, len(arr) - 1)) as pos from ptok0),
-gaz as (select place, array_to_string(list_filter(string_split_regex(lower(place), '\\W+'), lambda x: x <> ''), ' ') as gram,
+gaz as (select place, array_to_string(list_filter(string_split_regex(lower(place), '{_GAP}'), lambda x: x <> ''), ' ') as gram,
         latitude, longitude from ({GAZETTEER}) g0),
 cand_a as (select g.article_id, g.s_idx, 0 as rule, g.p_idx, g.pos, z.place from ({_grams('ptok', 'article_id, s_idx, p_idx')}) g
            join gaz z on z.gram = g.gram),
-stok0 as (select article_id, s_idx, string_split_regex(lower(sentence), '\\W+') as arr from sents),
+stok0 as (select article_id, s_idx, string_split_regex(lower(sentence), '{_GAP}') as arr from sents),
 stok as (select article_id, s_idx, unnest(arr) as tok, unnest(generate_series(0, len(arr) - 1)) as pos from stok0),
 splace as (select g.article_id, g.s_idx, g.pos, z.place from ({_grams('stok', 'article_id, s_idx')}) g join gaz z on z.gram = g.gram),
 near as (select distinct p.article_id, p.s_idx, p.pos, p.place from splace p join stok k
@@ -142,7 +143,7 @@ def q_location_phrases(spark, sf):
 @query("location_near_keyword", f"with {_ALL} select article_id, cast(s_idx as integer) as s_idx, cast(pos as integer) as pos, place from near")
 def q_near(spark, sf):
     sents = X.crime_sentences(_articles(spark, sf), KEYWORDS)
-    c = X.proximity_candidates(sents, X.gazetteer_keys(B.gazetteer(spark)), KEYWORDS)
+    c = X.proximity_candidates(sents, B.gazetteer(spark), KEYWORDS)
     return c.select("article_id", "s_idx", "pos", "place")
 
 
@@ -154,9 +155,8 @@ def q_location_extract(spark, sf):
 @query("geocode_left", f"""with {_ALL} select w.article_id, l.location_name, g.latitude, g.longitude
 from win w left join loc l on l.article_id = w.article_id left join gaz g on g.gram = lower(l.location_name)""")
 def q_geocode_left(spark, sf):
-    arts = _articles(spark, sf)
-    loc = X.location_extract(arts, B.gazetteer(spark), KEYWORDS)
-    return X.geocode(arts.select("article_id").join(loc, "article_id", "left"), B.gazetteer(spark)).select(
+    loc = X.location_extract(_articles(spark, sf), B.gazetteer(spark), KEYWORDS, keep_all=True)
+    return X.geocode(loc, B.gazetteer(spark)).select(
         "article_id", "location_name", "latitude", "longitude")
 
 
@@ -200,8 +200,5 @@ w.title, w.description, f.category, l.location_name, g.latitude, g.longitude, co
 from fan f join loc l on l.article_id = f.article_id join gaz g on g.gram = lower(l.location_name)
 join win w on w.article_id = f.article_id""")
 def q_incident_projection(spark, sf):
-    arts = _articles(spark, sf)
-    loc = X.location_extract(arts, B.gazetteer(spark), KEYWORDS)
-    fan = X.category_fanout(arts, TERMS)
-    inc = X.incident_projection(X.geocode(fan.join(loc, "article_id"), B.gazetteer(spark), how="inner"))
+    inc = X.build_incidents(_articles(spark, sf), B.gazetteer(spark), category_terms=TERMS, keywords=KEYWORDS)
     return inc.withColumn("date", F.date_format("date", "yyyy-MM-dd"))

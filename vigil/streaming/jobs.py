@@ -114,10 +114,8 @@ def incident_stream_transform(gazetteer: DataFrame, category_terms, keywords,
     streams do not rank, so there is no per-category top-k."""
     def build(batch: DataFrame) -> DataFrame:
         en = batch.filter(F.col("lang") == lang)
-        fan = X.category_fanout(en, category_terms)
-        loc = X.location_extract(en, gazetteer, keywords)
-        inc = X.geocode(fan.join(loc, "article_id"), gazetteer, how="inner")
-        return X.incident_projection(inc).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+        inc = X.build_incidents(en, gazetteer, category_terms=category_terms, keywords=keywords)
+        return inc.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
     return build
 
 
