@@ -108,3 +108,40 @@ def test_effectiveness_rules_both_formulas(spark):
     got = df.select(tracker_effectiveness("b", "a").alias("t"), validator_effectiveness("b", "a").alias("v")).collect()
     assert [(r.t, r.v) for r in got] == [(0.5, 0.5), (0.5, 0.0), (0.0, 0.0)]
     assert F is not None
+
+
+def _scatter(spark, n_points, n_targets, far, seed):
+    import random
+    r = random.Random(seed)
+    pts = [(k, 40 + far + r.random(), -far + r.random()) for k in range(n_points)] + [(10 ** 6, 40.5, 0.5), (10 ** 6 + 1, None, 1.0)]
+    tgt = [(f"h{k:04d}", 40 + r.randrange(50) / 100, r.randrange(50) / 100) for k in range(n_targets)]
+    return pts, tgt, spark.createDataFrame(pts, "incident_id long, latitude double, longitude double"), \
+        spark.createDataFrame(tgt, "hotspot_id string, lat double, lon double")
+
+
+def test_nearest_of_far_points_meets_few_targets(spark):
+    import math
+    pts, tgt, points, targets = _scatter(spark, 2000, 349, 7.0, 1)
+    pairs = spatial.nearest_pairs(points, targets).count()
+    assert pairs < 0.1 * len(pts) * len(tgt)
+    want = {i: min((math.sqrt((a - x) ** 2 + (b - y) ** 2), t) for t, x, y in tgt) for i, a, b in pts if a is not None}
+    got = {r.incident_id: (r.dist, r.hotspot_id) for r in spatial.nearest(points, targets).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i][1] == want[i][1] and abs(got[i][0] - want[i][0]) < 1e-12 for i in want)
+
+
+@pytest.mark.parametrize(("n_targets", "far"), [(1, 0.0), (3, 300.0), (200, 0.1)])
+def test_nearest_of_points_all_around(spark, n_targets, far):
+    import math
+    pts, tgt, points, targets = _scatter(spark, 150, n_targets, far, n_targets)
+    got = {r.incident_id: (r.dist, r.hotspot_id) for r in spatial.nearest(points, targets, base=0.02).collect()}
+    for i, a, b in pts:
+        if a is not None:
+            d, t = min((math.sqrt((a - x) ** 2 + (b - y) ** 2), t) for t, x, y in tgt)
+            assert got[i][1] == t and abs(got[i][0] - d) < 1e-9
+
+
+def test_nearest_without_points_or_targets(spark):
+    _, _, points, targets = _scatter(spark, 5, 5, 0.0, 9)
+    assert spatial.nearest(points, targets.limit(0)).count() == 0
+    assert spatial.nearest(points.limit(0), targets).count() == 0

@@ -1,7 +1,7 @@
 """Distance joins between points (incidents) and targets (hotspot centres).
 
-Both joins are rewritten from "every point against every target" into
-equi-joins on a uniform bucket grid:
+The distance join is rewritten from "every point against every target" into
+an equi-join on a uniform bucket grid:
 
 * each target is replicated into the 3×3 buckets around its own bucket;
 * a point meets only the targets replicated into its bucket.
@@ -11,18 +11,18 @@ guaranteed to meet it. The join keys are bucket coordinates, so a dense
 bucket meets at most the targets of a 3B×3B square on the build side; the
 probe side is streamed (AQE splits a skewed probe partition or turns the join
 into a broadcast join when the target side measures small).
+
+The nearest target is found by branch and bound over cells (``nearest``).
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil import fixed_values as FV
 from vigil.functions.geo import euclidean, floor_bin, valid_point
-from vigil.session import checkpoint_dir, materialize
+from vigil.session import materialize
 
 
 def _neighbourhood(targets: DataFrame, lat: str, lon: str, size: float) -> DataFrame:
@@ -70,61 +70,91 @@ def hit_flags(points: DataFrame, targets: DataFrame, *, max_dist: float = FV.HIT
     return p.withColumn("hit", probe.exists()).drop("_pbi", "_pbj")
 
 
-def _levels(points: DataFrame, targets: DataFrame, lat, lon, t_lat, t_lon, base: float) -> int:
-    """Number of bucket levels so the coarsest bucket spans every pair.
+#: Cells of a level that one cell of the next coarser one holds, per axis.
+_FAN_BITS = 2
+
+
+def _box(lat: str, lon: str, prefix: str) -> list:
+    return [f(c).alias(prefix + n) for n, f, c in (("s", F.min, lat), ("n", F.max, lat), ("w", F.min, lon), ("e", F.max, lon))]
+
 
-    One aggregate row per side is fetched to the driver (bounding boxes).
+def _least_and_most() -> tuple:
+    """Least and greatest distance between a point of box ``p`` and one of box ``t``."""
+    dy = F.greatest(F.lit(0.0), F.col("ts") - F.col("pn"), F.col("ps") - F.col("tn"))
+    dx = F.greatest(F.lit(0.0), F.col("tw") - F.col("pe"), F.col("pw") - F.col("te"))
+    fy = F.greatest(F.col("pn") - F.col("ts"), F.col("tn") - F.col("ps"))
+    fx = F.greatest(F.col("pe") - F.col("tw"), F.col("te") - F.col("pw"))
+    return F.sqrt(dx * dx + dy * dy), F.sqrt(fx * fx + fy * fy)
+
+
+def candidate_cells(point_cells: DataFrame, target_cells: DataFrame, depth: int) -> DataFrame:
+    """``pi, pj, ti, tj``: for each cell of points the target cells that can hold
+    the nearest target of one of its points.
+
+    Branch and bound, cell against cell: from the root of a pyramid of target
+    cells, every kept cell is replaced by its children; a child goes when its
+    least distance exceeds the smallest greatest distance of all children of
+    the cell of points (some target is that close to each of its points).
+    ``point_cells`` (pi, pj) and ``target_cells`` (ti, tj, from 0 on) carry the
+    bounding boxes of what they hold.
     """
-    bp = points.agg(F.min(lat), F.max(lat), F.min(lon), F.max(lon)).first()
-    bt = targets.agg(F.min(t_lat), F.max(t_lat), F.min(t_lon), F.max(t_lon)).first()
-    vals = [v for v in (*bp, *bt) if v is not None]
-    if not vals:
-        return 1
-    lats = [v for v in (bp[0], bp[1], bt[0], bt[1]) if v is not None]
-    lons = [v for v in (bp[2], bp[3], bt[2], bt[3]) if v is not None]
-    span = math.hypot(max(lats) - min(lats), max(lons) - min(lons))
-    return max(1, math.ceil(math.log2(max(span, base) / base)) + 1)
+    now = point_cells.withColumn("i", F.lit(0).cast("bigint")).withColumn("j", F.lit(0).cast("bigint"))
+    boxes = [F.min("ts").alias("ts"), F.max("tn").alias("tn"), F.min("tw").alias("tw"), F.max("te").alias("te")]
+    bound = Window.partitionBy("pi", "pj")
+    for level in reversed(range(depth)):
+        down = target_cells.groupBy(F.shiftright("ti", _FAN_BITS * level).alias("ci"),
+                                    F.shiftright("tj", _FAN_BITS * level).alias("cj")).agg(*boxes)
+        least, most = _least_and_most()
+        now = (now.join(down, (F.col("i") == F.shiftright("ci", _FAN_BITS)) & (F.col("j") == F.shiftright("cj", _FAN_BITS)))
+               .withColumn("least", least).withColumn("bound", F.min(most).over(bound))
+               # a hair's breadth for rounding
+               .filter(F.col("least") <= F.col("bound") * (1 + 1e-9) + 1e-12)
+               .select("pi", "pj", "ps", "pn", "pw", "pe", F.col("ci").alias("i"), F.col("cj").alias("j")))
+    return now.select("pi", "pj", F.col("i").alias("ti"), F.col("j").alias("tj"))
+
+
+def _celled(points: DataFrame, targets: DataFrame, id_col, target_id, lat, lon, t_lat, t_lon, size: float):
+    """Points and targets with their cells, and the candidate cells; None
+    without targets. One aggregate row (the targets' extent) is fetched."""
+    pts = materialize(points.filter(valid_point(lat, lon)).select(
+        id_col, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), floor_bin(lat, size).alias("pi"), floor_bin(lon, size).alias("pj")))
+    tgt = targets.select(target_id, F.col(t_lat).alias("_tlat"), F.col(t_lon).alias("_tlon")).filter(valid_point("_tlat", "_tlon"))
+    south, north, west, east = tgt.agg(F.min("_tlat"), F.max("_tlat"), F.min("_tlon"), F.max("_tlon")).first()
+    if south is None:
+        return pts, tgt, None
+    cell = [F.floor((F.col(c) - F.lit(v)) / F.lit(size)).cast("bigint").alias(n)
+            for c, v, n in (("_tlat", south, "ti"), ("_tlon", west, "tj"))]
+    tgt = materialize(tgt.select("*", *cell))
+    cells = int(max(north - south, east - west) / size) + 1
+    depth = max(1, -(-cells.bit_length() // _FAN_BITS))
+    leaves = materialize(tgt.groupBy("ti", "tj").agg(*_box("_tlat", "_tlon", "t")))
+    return pts, tgt, candidate_cells(pts.groupBy("pi", "pj").agg(*_box("_lat", "_lon", "p")), leaves, depth)
+
+
+def nearest_pairs(points: DataFrame, targets: DataFrame, *, id_col: str = "incident_id", target_id: str = "hotspot_id",
+                  lat: str = "latitude", lon: str = "longitude", t_lat: str = "lat", t_lon: str = "lon",
+                  size: float = FV.HIT_DISTANCE) -> DataFrame:
+    """``id, target_id, dist`` of every point and every target of its candidate
+    cells; the nearest target is among them."""
+    pts, tgt, cells = _celled(points, targets, id_col, target_id, lat, lon, t_lat, t_lon, size)
+    if cells is None:
+        none = F.lit(None).cast(tgt.schema[target_id].dataType)
+        return pts.select(id_col, none.alias(target_id), F.lit(0.0).alias("dist")).filter(F.lit(False))
+    return (pts.join(materialize(cells), ["pi", "pj"]).join(tgt, ["ti", "tj"])
+            .select(id_col, target_id, euclidean("_lat", "_lon", "_tlat", "_tlon").alias("dist")))
 
 
 def nearest(points: DataFrame, targets: DataFrame, *, id_col: str = "incident_id",
             target_id: str = "hotspot_id", lat: str = "latitude", lon: str = "longitude",
             t_lat: str = "lat", t_lon: str = "lon", base: float = FV.HIT_DISTANCE) -> DataFrame:
-    """Exact nearest target per point: ``id, target_id, dist``.
-
-    Level ``k`` uses buckets of size ``base·2^k``; a point whose best
-    candidate lies within the bucket size is final (nothing outside the 3×3
-    neighbourhood can be closer). Points not yet final move on to the next
-    level; at the last level the bucket spans the union of both bounding
-    boxes, so every remaining point is final. Ties go to the smaller id.
+    """Exact nearest target per point: ``id, target_id, dist``; ties go to the
+    smaller id. Points without valid coordinates are left out.
 
-    An iterative job: the unresolved points of each level are checkpointed
-    to the shared folder, so each level plans and runs on a short lineage,
-    and the loop stops as soon as no point is left.
+    Points and targets are put into cells of ``base``; only the targets of a
+    point cell's candidate cells are measured, however far away they lie, so
+    the work follows the points, not points times targets.
     """
-    checkpoint_dir(points.sparkSession)
-    pts = points.filter(valid_point(lat, lon)).select(id_col, lat, lon)
-    tgt = targets.select(target_id, F.col(t_lat).alias("_tlat"), F.col(t_lon).alias("_tlon"))
-    tgt = materialize(tgt.filter(valid_point("_tlat", "_tlon")))
-    levels = _levels(pts, tgt, lat, lon, "_tlat", "_tlon", base)
-    done = []
-    todo = materialize(pts)
-    for k in range(levels):
-        size = base * (2 ** k)
-        t = _neighbourhood(tgt, "_tlat", "_tlon", size)
-        p = _bucketed(todo, lat, lon, size)
-        best = (p.join(t, ["_bi", "_bj"])
-                .withColumn("dist", euclidean(lat, lon, "_tlat", "_tlon"))
-                .groupBy(id_col)
-                .agg(F.min_by(F.struct("dist", target_id), F.struct("dist", target_id)).alias("m"))
-                .select(id_col, F.col(f"m.{target_id}").alias(target_id), F.col("m.dist").alias("dist")))
-        final = materialize(best if k == levels - 1 else best.filter(F.col("dist") <= F.lit(size)))
-        done.append(final)
-        if k == levels - 1:
-            break
-        todo = materialize(todo.join(final.select(id_col), id_col, "left_anti"))
-        if todo.isEmpty():
-            break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    best = F.struct("dist", target_id)
+    return (nearest_pairs(points, targets, id_col=id_col, target_id=target_id, lat=lat, lon=lon, t_lat=t_lat, t_lon=t_lon, size=base)
+            .groupBy(id_col).agg(F.min(best).alias("m"))
+            .select(id_col, F.col(f"m.{target_id}").alias(target_id), F.col("m.dist").alias("dist")))
