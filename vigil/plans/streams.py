@@ -20,26 +20,28 @@ def _incident_stream(spark, sf):
     return B.incidents_from(ev, read_table(spark, sf, "nation", "n_nationkey", "n_name"))
 
 
+def _shown(counts, start, *columns):
+    return counts.select(F.date_format(start, "yyyy-MM-dd HH:mm:ss").alias("window_start"), *(columns or ("category", "n")))
+
+
 @query("stream_hourly_counts", f"""{_W} select strftime(date_trunc('hour', date), '%Y-%m-%d %H:%M:%S') as window_start,
 category, count(*) as n from inc group by 1, 2""")
 def q_stream_hourly(spark, sf):
-    s = S.windowed_counts(_incident_stream(spark, sf), duration="1 hour")
-    return S.run_available(s, name="hourly", keys=["window_start", "category"])
+    return _shown(S.pane_counts(_incident_stream(spark, sf), pane="1 hour", keys=["category"], name="hourly")[0], "pane_start")
 
 
 @query("stream_daily_counts", f"""{_W} select strftime(date_trunc('day', date), '%Y-%m-%d %H:%M:%S') as window_start,
 category, count(*) as n from inc group by 1, 2""")
 def q_stream_daily(spark, sf):
-    s = S.windowed_counts(_incident_stream(spark, sf), duration="1 day")
-    return S.run_available(s, name="daily", keys=["window_start", "category"])
+    return _shown(S.pane_counts(_incident_stream(spark, sf), pane="1 day", keys=["category"], name="daily")[0], "pane_start")
 
 
 @query("stream_sliding_counts", f"""{_W}, x as (select category, date_trunc('hour', date) - to_hours(k) as ws
 from inc, (select unnest(range(0, 24)) as k) r)
 select strftime(ws, '%Y-%m-%d %H:%M:%S') as window_start, category, count(*) as n from x group by 1, 2""")
 def q_stream_sliding(spark, sf):
-    s = S.windowed_counts(_incident_stream(spark, sf), duration="1 day", slide="1 hour")
-    return S.run_available(s, name="sliding", keys=["window_start", "category"])
+    panes, _ = S.pane_counts(_incident_stream(spark, sf), pane="1 hour", keys=["category"], name="sliding")
+    return _shown(S.windows_of(panes, keys=["category"], duration="1 day", slide="1 hour"), "window_start")
 
 
 @query("stream_grid_counts", f"""{_W}, x as (select cast(floor(latitude/0.01e0) as bigint) as i,
@@ -47,8 +49,7 @@ cast(floor(longitude/0.01e0) as bigint) as j, date_trunc('day', date) - to_days(
 from inc, (select unnest(range(0, 7)) as k) r where latitude is not null and longitude is not null)
 select strftime(ws, '%Y-%m-%d') as window_start, i, j, count(*) as n from x group by 1, 2, 3""")
 def q_stream_grid(spark, sf):
-    s = S.rolling_grid_counts(_incident_stream(spark, sf))
-    return S.run_available(s, name="grid", keys=["window_start", "i", "j"])
+    return S.rolling_grid_counts(_incident_stream(spark, sf), name="grid")
 
 
 @query("stream_dedup_fanout", f"with {ctes()} select article_id, category, relevance from fan")
@@ -84,8 +85,7 @@ def q_stream_recent(spark, sf):
                    F.col("o_orderdate").alias("implementation_date"),
                    (F.col("record_id") % 20).alias("before_incidents"),
                    (F.col("o_custkey") % 15).alias("after_incidents"))
-    r = S.run_available(S.recent_effectiveness_stream(fu), name="recent", keys=["intervention_type", "salt"])
-    return S.merge_recent(r).select("intervention_type", F.round("recent", 6).alias("recent"), "seen")
+    return S.recent_effectiveness_table(fu, name="recent").select("intervention_type", F.round("recent", 6).alias("recent"), "seen")
 
 
 @query("stream_validation_history", f"""with vh as ({VALIDATION_HISTORY}) select run_no,
@@ -106,10 +106,8 @@ select strftime(c.ws, '%Y-%m-%d %H:%M:%S') as window_start, c.category, c.n, rou
 round(b.sd, 6) as sd, coalesce(c.n > b.mean + 3e0*b.sd, false) as alert
 from c left join b on b.category = c.category""")
 def q_stream_spike_feed(spark, sf):
-    baseline = S.daily_baseline(B.incidents(spark, sf))
-    s = S.windowed_counts(_incident_stream(spark, sf), duration="1 day", slide="1 hour")
-    r = S.run_available(s, name="spikes", keys=["window_start", "category"],
-                        transform=S.spike_feed_transform(baseline))
+    panes, _ = S.pane_counts(_incident_stream(spark, sf), pane="1 hour", keys=["category"], name="spikes")
+    r = _shown(S.spike_feed(panes, keys=["category"]), "window_start", "category", "n", "mean", "sd", "alert")
     return r.select("window_start", "category", "n", F.round("mean", 6).alias("mean"),
                     F.round("sd", 6).alias("sd"), "alert")
 
@@ -121,6 +119,4 @@ c as (select strftime(ws, '%Y-%m-%d') as window_start, i, j, count(*) as n from
 t as (select window_start, quantile_cont(n, 0.75) as threshold from c group by 1)
 select c.window_start, c.i, c.j, c.n from c join t on t.window_start = c.window_start where c.n >= t.threshold""")
 def q_stream_hot_cells(spark, sf):
-    s = S.rolling_grid_counts(_incident_stream(spark, sf))
-    counts = S.run_available(s, name="grid_hot", keys=["window_start", "i", "j"])
-    return S.hot_window_cells(counts)
+    return S.hot_window_cells(S.rolling_grid_counts(_incident_stream(spark, sf), name="grid_hot"))

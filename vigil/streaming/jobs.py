@@ -11,12 +11,10 @@ streaming checkpoint. ``run_available`` drives a job to completion with
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
 from vigil import fixed_values as FV
 from vigil.functions.geo import floor_bin, valid_point
@@ -119,89 +117,127 @@ def incident_stream_transform(gazetteer: DataFrame, category_terms, keywords,
     return build
 
 
-# ---------------------------------------------------------------- ST2 / ST3 / ST5
+# ---------------------------------------------------------------- ST2 / ST3 / ST5 / ST7
 
-def windowed_counts(incidents: DataFrame, *, duration: str, slide: str | None = None,
-                    keys=("category",), watermark: str = "1 day", ts: str = "date") -> DataFrame:
-    """Tumbling (or sliding) event-time counts per key."""
-    w = F.window(ts, duration, slide) if slide else F.window(ts, duration)
-    return (incidents.withWatermark(ts, watermark)
-            .groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"))
-            .select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), *keys, "n"))
+_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
 
-def rolling_grid_counts(incidents: DataFrame, *, resolution: float = FV.GRID_RESOLUTION,
-                        days: int = FV.PREDICTION_DAYS, watermark: str = "1 day",
-                        ts: str = "date") -> DataFrame:
-    """Counts per fixed-origin grid cell over sliding ``days``-day windows
-    (a stream cannot re-derive the extent, so the origin is 0,0)."""
+def pane_start(ts: str, pane: str) -> Column:
+    """Start of the pane ("1 hour", "2 days") that a time lies in; null stays null."""
+    n, unit = pane.split()
+    micros = int(n) * _SECONDS[unit.rstrip("s")] * 1_000_000
+    return F.timestamp_micros(F.floor(F.unix_micros(F.col(ts)) / micros).cast("bigint") * micros)
+
+
+def _drain(stream: DataFrame, write: Callable[[DataFrame, int], None], base: str) -> None:
+    q = (stream.writeStream.outputMode("append").foreachBatch(write)
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def pane_counts(events: DataFrame, *, pane: str, keys: list[str], name: str, ts: str = "date",
+                lateness: str | None = None, base: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Event-time counts of an ``append`` stream in tumbling panes: ``(panes,
+    dropped)``, both running totals over all runs with the same ``base``.
+
+    A micro-batch adds up its own rows by pane and key (map-side first) and
+    writes them under its batch id; counts add, so nothing is kept in stream
+    state, rows may come in any order and a retried batch replaces its rows.
+    ``panes``: pane_start, keys, n. With ``lateness`` a row that lies further
+    than that behind the newest row of all earlier batches is late: it is not
+    counted but stands in ``dropped`` (pane_start, keys, n). Without it no row
+    is dropped, whatever backlog lands in whatever order; only rows without a
+    time are (pane_start null).
+    """
+    spark = events.sparkSession
+    base = base or scratch(spark, name)
+    out = f"{base}/panes"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        late = F.col(ts).isNull()
+        if lateness is not None and _exists(spark, out):
+            newest = spark.read.parquet(out).filter(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
+            if newest is not None:
+                late = late | (F.col(ts) < F.lit(newest).cast("timestamp") - F.expr(f"interval {lateness}"))
+        (batch.withColumn("late", late).groupBy(pane_start(ts, pane).alias("pane_start"), *keys, "late")
+         .agg(F.count(F.lit(1)).alias("n"), F.max(ts).alias("newest"))
+         .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
+
+    _drain(events, write, base)
+    if not _exists(spark, out):
+        none = events.select(F.col(ts).alias("pane_start"), *keys, F.lit(0).cast("bigint").alias("n"))
+        none = spark.createDataFrame([], none.schema)
+        return none, none
+    total = (spark.read.parquet(out).groupBy("late", "pane_start", *keys).agg(F.sum("n").alias("n")))
+    return tuple(total.filter(c).drop("late") for c in (~F.col("late"), F.col("late")))
+
+
+def windows_of(panes: DataFrame, *, keys: list[str], duration: str, slide: str | None = None) -> DataFrame:
+    """Tumbling or sliding windows rolled up from panes that divide them:
+    window_start, keys, n. Only panes are spread over windows, no rows."""
+    w = F.window("pane_start", duration, slide) if slide else F.window("pane_start", duration)
+    return panes.groupBy(w.getField("start").alias("window_start"), *keys).agg(F.sum("n").alias("n"))
+
+
+def grid_events(incidents: DataFrame, resolution: float = FV.GRID_RESOLUTION) -> DataFrame:
+    """Incidents with their fixed-origin grid cell (a stream cannot re-derive
+    the extent, so the origin is 0,0)."""
     return (incidents.filter(valid_point("latitude", "longitude"))
-            .withWatermark(ts, watermark)
-            .groupBy(F.window(ts, f"{days} days", "1 day").alias("w"),
-                     floor_bin("latitude", resolution).alias("i"),
-                     floor_bin("longitude", resolution).alias("j"))
-            .agg(F.count("*").alias("n"))
-            .select(F.date_format("w.start", "yyyy-MM-dd").alias("window_start"), "i", "j", "n"))
+            .select("date", floor_bin("latitude", resolution).alias("i"), floor_bin("longitude", resolution).alias("j")))
+
+
+def rolling_grid_counts(incidents: DataFrame, *, name: str, resolution: float = FV.GRID_RESOLUTION,
+                        days: int = FV.PREDICTION_DAYS, lateness: str | None = None, base: str | None = None) -> DataFrame:
+    """Counts per grid cell over sliding ``days``-day windows: daily panes once,
+    windows from panes."""
+    panes, _ = pane_counts(grid_events(incidents, resolution), pane="1 day", keys=["i", "j"], name=name, lateness=lateness, base=base)
+    return (windows_of(panes, keys=["i", "j"], duration=f"{days} days", slide="1 day")
+            .select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "i", "j", "n"))
 
 
 # ---------------------------------------------------------------- ST6
 
-RECENT_STATE = "dates array<bigint>, ids array<bigint>, values array<double>, seen bigint"
-RECENT_OUT = ("intervention_type string, salt int, dates array<bigint>, ids array<bigint>, "
-              "values array<double>, seen long")
-
-
-def _recent_fn(n: int):
-    def fn(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            d, i, v, seen = state.get
-            keep = pd.DataFrame({"d": list(d), "i": list(i), "v": list(v)})
-        else:
-            keep = pd.DataFrame({"d": [], "i": [], "v": []})
-            seen = 0
-        for pdf in chunks:
-            seen += len(pdf)
-            part = pd.DataFrame({"d": pdf["order_ts"].astype("int64"), "i": pdf["record_id"].astype("int64"),
-                                 "v": pdf["effectiveness"].astype("float64")})
-            # keep only the n latest (date, id) seen so far: bounded state,
-            # independent of arrival order inside and across chunks
-            keep = pd.concat([keep, part]).sort_values(["d", "i"]).tail(n)
-        d, i, v = (keep["d"].astype("int64").tolist(), keep["i"].astype("int64").tolist(),
-                   keep["v"].astype("float64").tolist())
-        state.update((d, i, v, int(seen)))
-        yield pd.DataFrame({"intervention_type": [key[0]], "salt": [int(key[1])], "dates": [d],
-                            "ids": [i], "values": [v], "seen": [int(seen)]})
-    return fn
-
-
-def recent_effectiveness_stream(follow_up: DataFrame, n: int = FV.RECENT_RUNS,
-                                salts: int = 16) -> DataFrame:
-    """Keyed state of the ``n`` latest tracker effectiveness values.
-
-    The state key is ``(type, salt)`` with ``salt = hash(record) mod salts``:
-    a type holding a third of the stream is spread over ``salts`` groups, each
-    keeping at most ``n`` entries. :func:`merge_recent` combines the at most
-    ``salts × n`` survivors of a type into its mean.
+def recent_effectiveness_table(follow_up: DataFrame, *, name: str, n: int = FV.RECENT_RUNS,
+                               base: str | None = None) -> DataFrame:
+    """``intervention_type, recent, seen``: the mean of the ``n`` latest tracker
+    effectiveness values of each type and the records seen, over all runs with
+    the same ``base``.
+
+    A keyed table with one version per micro-batch: the batch's ``n`` latest
+    rows of each type (a group limit below the shuffle: each task ships at most
+    ``n`` of a type) are merged with the version before and written under the
+    batch id, so a retried batch replaces its version and arrival order plays
+    no part.
     """
-    rows = follow_up.select(
-        "intervention_type", "record_id",
-        F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int").alias("salt"),
-        F.unix_micros(F.col("implementation_date").cast("timestamp")).alias("order_ts"),
-        tracker_effectiveness("before_incidents", "after_incidents").alias("effectiveness"))
-    return rows.groupBy("intervention_type", "salt").applyInPandasWithState(
-        _recent_fn(n), RECENT_OUT, RECENT_STATE, "update", "NoTimeout")
-
-
-def merge_recent(salted: DataFrame, n: int = FV.RECENT_RUNS) -> DataFrame:
-    """``intervention_type, recent, seen`` from the per-salt survivors."""
-    from pyspark.sql import Window
-    e = salted.select("intervention_type", "salt", "seen",
-                      F.explode(F.arrays_zip("dates", "ids", "values")).alias("e"))
-    w = Window.partitionBy("intervention_type").orderBy(F.desc("e.dates"), F.desc("e.ids"))
-    top = e.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
-    seen = salted.groupBy("intervention_type").agg(F.sum("seen").alias("seen"))
-    return (top.groupBy("intervention_type").agg(F.avg("e.values").alias("recent"))
-            .join(seen, "intervention_type"))
+    spark = follow_up.sparkSession
+    base = base or scratch(spark, name)
+    out = f"{base}/versions"
+    order = Window.partitionBy("intervention_type").orderBy(F.desc("at"), F.desc("record_id"))
+
+    def latest(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("rank")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("intervention_type", "record_id", F.col("implementation_date").cast("timestamp").alias("at"),
+                            tracker_effectiveness("before_incidents", "after_incidents").alias("effectiveness"))
+        top, seen = latest(rows), rows.groupBy("intervention_type").agg(F.count(F.lit(1)).alias("seen"))
+        if _exists(spark, out):
+            before = spark.read.parquet(out).filter(F.col("batch") < batch_id)
+            version = before.agg(F.max("batch")).first()[0]
+            if version is not None:
+                before = before.filter(F.col("batch") == version)
+                top = latest(top.unionByName(before.select(*top.columns)))
+                seen = (seen.unionByName(before.select("intervention_type", "seen").distinct())
+                        .groupBy("intervention_type").agg(F.sum("seen").alias("seen")))
+        top.join(seen, "intervention_type").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    _drain(follow_up, write, base)
+    if not _exists(spark, out):
+        return spark.createDataFrame([], "intervention_type string, recent double, seen long")
+    versions = spark.read.parquet(out)
+    last = versions.agg(F.max("batch")).first()[0]
+    return (versions.filter(F.col("batch") == F.lit(last)).groupBy("intervention_type")
+            .agg(F.avg("effectiveness").alias("recent"), F.first("seen").alias("seen")))
 
 
 # ---------------------------------------------------------------- ST8
@@ -215,21 +251,14 @@ def validation_history_stream(orders: DataFrame) -> DataFrame:
                  F.count("*").alias("n")))
 
 
-def spike_feed_transform(baseline: DataFrame, *, keys=("category",), k: float = 3.0):
-    """foreachBatch step of the spike feed: each micro-batch of windowed
-    counts meets the static per-key baseline (``mean``, ``sd``) by an
-    equi-join and is flagged when ``n > mean + k·sd``."""
-    def flag(batch: DataFrame) -> DataFrame:
-        j = batch.join(baseline, list(keys), "left")
-        return j.withColumn("alert", F.coalesce(F.col("n") > F.col("mean") + k * F.col("sd"),
-                                                F.lit(False)))
-    return flag
-
-
-def daily_baseline(incidents: DataFrame, *, keys=("category",), ts: str = "date") -> DataFrame:
-    """Per key: mean and sample sd of the daily counts (batch history)."""
-    daily = incidents.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.count("*").alias("n"))
-    return daily.groupBy(*keys).agg(F.avg("n").alias("mean"), F.stddev_samp("n").alias("sd"))
+def spike_feed(panes: DataFrame, *, keys: list[str], duration: str = "1 day", slide: str = "1 hour", k: float = 3.0) -> DataFrame:
+    """Windows of the panes against the key's history, the mean and sample sd
+    of its daily counts (days with rows), taken from the same panes: flagged
+    when ``n > mean + k·sd``."""
+    daily = windows_of(panes, keys=keys, duration="1 day")
+    baseline = daily.groupBy(*keys).agg(F.avg("n").alias("mean"), F.stddev_samp("n").alias("sd"))
+    return (windows_of(panes, keys=keys, duration=duration, slide=slide).join(baseline, keys, "left")
+            .withColumn("alert", F.coalesce(F.col("n") > F.col("mean") + k * F.col("sd"), F.lit(False))))
 
 
 def hot_window_cells(window_counts: DataFrame, pct: float = FV.HOT_PERCENTILE) -> DataFrame:
