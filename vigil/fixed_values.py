@@ -32,6 +32,8 @@ FILL_DEFAULTS = {
     "location_name": "Unknown Location",
     "category": "Unknown Category",
 }
+# Formats of publication dates given as text, the first that fits counts
+TEXT_DATE_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm", "yyyy-MM-dd"]
 POPUP_NO_DESCRIPTION = "No description available"
 POPUP_DESCRIPTION_CHARS = 200
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vigil import fixed_values as FV
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -16,6 +18,11 @@ def parse_ts(x) -> Column:
     return F.coalesce(F.try_to_timestamp(c.cast("string")), c.cast("string").try_cast("timestamp"))
 
 
+def parse_text_date(x, formats: list[str] = FV.TEXT_DATE_FORMATS) -> Column:
+    """Timestamp of a text date: the first format that fits; NULL if none does."""
+    return F.coalesce(*[F.try_to_timestamp(F.trim(_c(x)), F.lit(f)) for f in formats])
+
+
 def hour_of(x) -> Column:
     return F.hour(_c(x))
 

@@ -138,6 +138,13 @@ def category_share(df: DataFrame, category: str = "category") -> DataFrame:
         round_half_even(F.col("n") / total, 2).alias("share"))
 
 
+def environment_factors(external: DataFrame, factors: str = "factors") -> DataFrame:
+    """``factor, value`` from rows that carry a map factor → value: the mean
+    value of each factor (entries without a value do not count)."""
+    return (external.select(F.explode(factors).alias("factor", "value")).groupBy("factor")
+            .agg(F.avg("value").alias("value")).filter(F.col("value").isNotNull()))
+
+
 def risk_amplifiers(df: DataFrame, *, ts: str | None = "date", place: str | None = "location_name",
                     category: str | None = "category",
                     external: DataFrame | None = None) -> DataFrame:
@@ -147,7 +154,8 @@ def risk_amplifiers(df: DataFrame, *, ts: str | None = "date", place: str | None
     ``n / total`` rounded to 2 places. The per-dimension maxima and the total
     form a frame of at most five rows (one per section), broadcast back onto
     the aggregated rows. Sections whose input column is missing are absent.
-    ``external`` (``factor, value``) passes environmental factors through.
+    ``external`` (``factor, value``, see :func:`environment_factors`) adds the
+    environment section.
     """
     counts = section_counts(df, ts=ts, category=category, place=place)
     tops = counts.groupBy("section").agg(F.max("n").alias("top"))        # ≤ 5 rows

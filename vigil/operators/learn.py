@@ -15,11 +15,13 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil import fixed_values as FV
 from vigil.functions import temporal as T
+from vigil.operators.sequence import rank_within
+from vigil.sources.files import path_exists
 
 NUMERIC = ["hour", "day_of_week", "month", "latitude", "longitude"]
 CATEGORICAL = ["location_name", "source"]
@@ -60,6 +62,24 @@ def one_hot(df: DataFrame, col: str, *, id_col: str = "incident_id") -> DataFram
                                 for i, lvl in enumerate(idx.labels)])
 
 
+def one_hot_levels(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``column, level, n, level_id``: the levels of the columns, numbered from 0
+    in alphabetical order by distributed ranks (a vocabulary of any size)."""
+    levels = None
+    for c in cols:
+        part = df.filter(F.col(c).isNotNull()).groupBy(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")).agg(F.count("*").alias("n"))
+        levels = part if levels is None else levels.unionByName(part)
+    return rank_within(levels, "column", ["level"], out="level_id").withColumn("level_id", F.col("level_id") - 1)
+
+
+def one_hot_long(df: DataFrame, cols: list[str], *, id_col: str = "incident_id") -> DataFrame:
+    """Sparse one-hot rows ``id, column, level_id``: a 1 for each id and column
+    that has a level; no column per level, nothing held by the driver."""
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in cols])
+    rows = df.select(id_col, F.explode(entries).alias("e")).select(id_col, "e.column", "e.level").filter(F.col("level").isNotNull())
+    return rows.join(one_hot_levels(df, cols).drop("n"), ["column", "level"]).select(id_col, "column", "level_id")
+
+
 def standard_scaled(df: DataFrame, cols: list[str], *, id_col: str = "incident_id") -> DataFrame:
     """``(x - mean) / population sd``; zero variance → 0. Means and sds are
     one aggregate row read as a scalar subquery."""
@@ -177,3 +197,17 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def save_models(models: dict[str, PipelineModel], path: str) -> None:
+    """Named models under one folder; a model saved before is replaced, the
+    others stay."""
+    for name, model in models.items():
+        save_model(model, f"{path.rstrip('/')}/{name}")
+
+
+def load_models(spark: SparkSession, path: str, names: list[str]) -> dict[str, PipelineModel]:
+    """Those of the named models that exist (with metadata written whole); an
+    empty dict, hence false, when there is none."""
+    base = path.rstrip("/")
+    return {n: load_model(f"{base}/{n}") for n in names if path_exists(spark, f"{base}/{n}/metadata/_SUCCESS")}

@@ -190,23 +190,34 @@ def intervention_results(follow_up: DataFrame) -> DataFrame:
                             "before_incidents", "after_incidents")
 
 
-def follow_up_document(follow_up: DataFrame) -> DataFrame:
-    """Nested form ``hotspot_id, interventions map<id, struct<type,
-    follow_up_data>>``, emitted as one fragment per record: the document of
-    a hotspot is the union of its fragments, so no hotspot's records are ever
-    gathered into one row or one task."""
-    return follow_up.select(
-        "hotspot_id",
-        F.create_map(F.col("record_id").cast("string"),
-                     F.struct(F.col("intervention_type").alias("type"),
-                              F.struct("before_incidents", "after_incidents").alias("follow_up_data")))
-        .alias("interventions"))
-
-
-def explode_follow_up(doc: DataFrame) -> DataFrame:
-    """Two-level explode of the nested follow-up document back to rows."""
-    return (doc.select("hotspot_id", F.explode("interventions").alias("intervention_id", "d"))
-            .select("hotspot_id", "intervention_id", F.col("d.type").alias("type"),
+#: Records of one follow-up document: bounds what is gathered into a row.
+DOCUMENT_RECORDS = 256
+FOLLOW_UP_TYPE = ("map<string, map<string, struct<type: string, follow_up_data: struct<before_incidents: bigint, "
+                  "after_incidents: bigint>>>>")
+
+
+def follow_up_document(follow_up: DataFrame, records: int = DOCUMENT_RECORDS) -> DataFrame:
+    """``part, document``: JSON texts hotspot → intervention id → type and
+    follow-up data, several interventions per hotspot. The documents hold the
+    records of ``records`` successive ids each, so a hotspot with very many
+    records is spread over many of them. A hotspot's record id names one
+    intervention (of repeats one stays); a null hotspot is "unknown"."""
+    one = F.struct(F.col("intervention_type").alias("type"),
+                   F.struct(F.col("before_incidents").cast("bigint").alias("before_incidents"),
+                            F.col("after_incidents").cast("bigint").alias("after_incidents")).alias("follow_up_data"))
+    rows = follow_up.withColumn("hotspot_id", F.coalesce("hotspot_id", F.lit("unknown"))).dropDuplicates(["hotspot_id", "record_id"])
+    by_hotspot = (rows.filter("record_id is not null").groupBy(F.floor(F.col("record_id") / records).alias("part"), "hotspot_id")
+                  .agg(F.map_from_entries(F.collect_list(F.struct(F.col("record_id").cast("string"), one))).alias("interventions")))
+    return (by_hotspot.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("hotspot_id", "interventions"))).alias("doc"))
+            .select("part", F.to_json("doc").alias("document")))
+
+
+def explode_follow_up(documents: DataFrame, document: str = "document") -> DataFrame:
+    """Both levels of follow-up documents back to rows: hotspots, then their
+    interventions. Texts that do not parse give no rows."""
+    return (documents.select(F.explode(F.from_json(document, FOLLOW_UP_TYPE)).alias("hotspot_id", "interventions"))
+            .select("hotspot_id", F.explode("interventions").alias("intervention_id", "d"))
+            .select("hotspot_id", "intervention_id", F.coalesce("d.type", F.lit("unknown")).alias("type"),
                     validator_effectiveness("d.follow_up_data.before_incidents",
                                             "d.follow_up_data.after_incidents").alias("effectiveness")))
 

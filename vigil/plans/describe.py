@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigil.functions import temporal as T
+from vigil.functions.numeric import round6
 from vigil.operators import descriptive as D
 from vigil.plans.registry import query
 from vigil.plans.sql_bindings import ARTICLES, INCIDENTS
@@ -100,12 +102,28 @@ c as (select category as key, count(*) as n from inc where category is not null
 select 'hourly' as dimension, key, n as incident_count, n*1e0/(select max(n) from h) as risk_score from h
 union all select 'daily', key, n, n*1e0/(select max(n) from d) from d
 union all select 'location', key, n, n*1e0/(select max(n) from l) from l
-union all select 'category', key, n, round_even(n*1e0/(select count(*) from inc)*100e0, 0)/100e0 from c"""
+union all select 'category', key, n, round_even(n*1e0/(select count(*) from inc)*100e0, 0)/100e0 from c
+union all select 'environment', c_mktsegment, null, round(avg(c_acctbal/10000e0), 6) from customer group by 2"""
 
 
 @query("risk_amplifiers", _AMP_SQL)
 def q_risk_amplifiers(spark, sf):
-    return D.risk_amplifiers(_inc(spark, sf))
+    return D.risk_amplifiers(_inc(spark, sf), external=_environment(spark, sf))
+
+
+def _environment(spark, sf):
+    return D.environment_factors(B.environment(spark, sf)).withColumn("value", round6("value"))
+
+
+@query("environment_factors", "select c_mktsegment as factor, round(avg(c_acctbal/10000e0), 6) as value from customer group by 1")
+def q_environment(spark, sf):
+    return _environment(spark, sf).orderBy(F.desc("value"), "factor")       # T7
+
+
+@query("text_dates", f"""{_W} select incident_id, case incident_id % 4 when 3 then null when 2 then strftime(date, '%Y-%m-%d %H:%M:00')
+else strftime(date, '%Y-%m-%d %H:%M:%S') end as date from inc""")
+def q_text_dates(spark, sf):
+    return B.text_dated(spark, sf).select("incident_id", F.date_format(T.parse_text_date("date_text"), "yyyy-MM-dd HH:mm:ss").alias("date"))
 
 
 @query("fill_defaults", f"""with a as ({ARTICLES})

@@ -36,6 +36,18 @@ def q_one_hot(spark, sf):
     return M.one_hot(_inc(spark, sf), "category")
 
 
+_LONG = ("category", "location_name", "source")
+
+
+@query("one_hot_long", f"""{_W}, l as (select incident_id, 'category' as "column", category as level from inc
+union all select incident_id, 'location_name', location_name from inc union all select incident_id, 'source', source from inc),
+k as (select "column", level, row_number() over (partition by "column" order by level) - 1 as level_id
+      from (select distinct "column", level from l where level is not null) z)
+select l.incident_id, l."column", k.level_id from l join k on k."column" = l."column" and k.level = l.level""")
+def q_one_hot_long(spark, sf):
+    return M.one_hot_long(_inc(spark, sf), list(_LONG))
+
+
 _SCALE_COLS = ["hour", "day_of_week", "month", "latitude", "longitude"]
 _SCALE_SQL = f"""{_W}, f as (select incident_id, cast(hour(date) as double) as hour, cast(isodow(date) - 1 as double) as day_of_week,
 cast(month(date) as double) as month, latitude, longitude from inc),

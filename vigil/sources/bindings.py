@@ -110,6 +110,21 @@ def validation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
                   / F.count(F.lit(1))).alias("false_positive_rate")))
 
 
+def environment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """External factors: one map segment → scaled balance per customer."""
+    c = read_table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment", "c_acctbal")
+    return c.select("c_custkey", F.create_map("c_mktsegment", F.col("c_acctbal") / F.lit(10000.0)).alias("factors"))
+
+
+def text_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incident ids with their time as text, in four spellings, one of them bad."""
+    e = read_table(spark, sf_dir, "events", "event_id", "ts")
+    ts, k = F.col("ts").cast("timestamp"), F.col("event_id") % 4
+    return e.select(F.col("event_id").alias("incident_id"),
+                    F.when(k == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+                    .when(k == 2, F.date_format(ts, " dd/MM/yyyy HH:mm")).otherwise(F.date_format(ts, "yyyy-13-dd 'soon'")).alias("date_text"))
+
+
 def region_similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity edges between the 5 TPC-H regions (fixed-size dimension):
     every region a ≠ b, weight ``1 / (1 + |key_a - key_b|)``. Each region is
