@@ -121,6 +121,14 @@ def test_frame_cases(frame):
     assert simhash.near_duplicates(frame([])).count() == 0
 
 
+def test_unlike_texts_of_one_id_are_told_apart(frame):
+    other = " ".join(f"else{i * 31 % 500}" for i in range(300))
+    rows = [(3, BASE), (7, BASE.upper()), (7, other), (9, other.upper()), (8, BASE), (8, "q r s"), (2, "a b"), (2, "A B"), (None, BASE)]
+    kept = sorted((str(r.doc_id), r.text) for r in simhash.drop_near_duplicates(frame(rows)).collect())
+    twin = frame([(2, "a b"), (2, "A B")]).selectExpr("min_by(text, xxhash64(text))").first()[0]
+    assert kept == sorted([("3", BASE), ("7", other), ("8", "q r s"), ("2", twin), ("None", BASE)])
+
+
 def test_whole_table(spark, sf001):
     d = pd.read_parquet(f"{sf001}/documents.parquet").set_index("doc_id").text
     prints = {i: plain(t) for i, t in d.items()}

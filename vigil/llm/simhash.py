@@ -68,14 +68,15 @@ def fingerprint(text: str, words_per_shingle: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (long) of each document."""
+    """doc_id, fp (long), mark (a hash of the text) of each document."""
     prepare(docs.sparkSession)
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, words_per_shingle) for t in texts], dtype="int64")
 
-    return id_and_text(docs, id_col, text_col).select("doc_id", of("text").alias("fp"))
+    return id_and_text(docs, id_col, text_col).select(
+        "doc_id", of("text").alias("fp"), F.xxhash64("text").alias("mark"))
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -245,27 +246,38 @@ def links_within(classes: DataFrame, radius: int = MAX_BITS) -> DataFrame:
     return at_home.unionByName(visiting).groupBy("leaf", "i", "j").applyInPandas(connect, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id
-    (the smallest id that links reach, its own included)."""
-    prints = stage(fingerprints(docs, words_per_shingle, id_col, text_col), "simhash-prints")
+def _classes(prints: DataFrame, max_bits: int) -> DataFrame:
+    """fp, label (of its component), component_id (the smallest id in it)."""
     classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     found = stage(components(links_within(classes, max_bits)), "simhash-components")
     labelled = stage(classes.join(found, classes["fp"] == found["node"], "left")
                      .select("fp", "first_id", F.coalesce("label", "fp").alias("label")), "simhash-labels")
     roots = stage(labelled.groupBy("label").agg(F.min("first_id").alias("component_id")), "simhash-roots")
-    ids = stage(labelled.join(roots, "label").select("fp", "component_id"), "simhash-ids")
-    return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-                                         "component_id")
+    return stage(labelled.join(roots, "label").select("fp", "label", "component_id"), "simhash-ids")
+
+
+def near_duplicates(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id
+    (the smallest id that links reach, its own included)."""
+    prints = stage(fingerprints(docs, words_per_shingle, id_col, text_col).drop("mark"), "simhash-prints")
+    return prints.join(_classes(prints, max_bits).drop("label"), "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          words_per_shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents whose id is their component's, with all their columns."""
-    gone = stage(near_duplicates(docs, words_per_shingle, max_bits, id_col, text_col)
-                 .where("doc_id <> component_id").select(F.col("doc_id").alias("_vg_id")).distinct(), "simhash-gone")
-    return docs.join(gone, docs[id_col] == gone["_vg_id"], "left_anti")
+    """One document of each component, that of its smallest id, with all its
+    columns. Texts are told apart, not ids: an id that has unlike texts may lose
+    one of them. Of an id's texts in one component the one with the smallest
+    hash stays; rows without an id, and rows that repeat the one that stays, stay."""
+    prints = stage(fingerprints(docs, words_per_shingle, id_col, text_col), "simhash-prints")
+    member = prints.where("doc_id is not null").join(_classes(prints, max_bits), "fp")
+    first = stage(member.where("doc_id = component_id").groupBy("label").agg(F.min("mark").alias("first_mark")), "simhash-first")
+    gone = stage(member.join(first, "label").where("doc_id <> component_id or mark <> first_mark")
+                 .select(F.col("doc_id").alias("_vg_id"), F.col("mark").alias("_vg_mark")).distinct(), "simhash-gone")
+    mark = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(gone, (docs[id_col] == gone["_vg_id"]) & (mark == gone["_vg_mark"]), "left_anti")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
