@@ -34,8 +34,15 @@ def test_topk_has_partial_group_limit(spark):
 def test_distance_join_is_keyed(spark):
     train, actual = B.train_actual(spark, SF01)
     hs = grid.hotspots(train, as_of="2024-01-24")
-    plan = _plan(spatial.hit_flags(actual, hs, max_dist=0.005))
-    assert "ExistenceJoin" in plan and "BroadcastNestedLoopJoin" not in plan
+    for plan in (_plan(spatial.within_distance(actual, hs, max_dist=0.005)), _plan(spatial.within_km(actual, hs, max_km=0.4))):
+        assert "LeftSemi" in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["accuracy_series", "fpr_series", "accuracy_trend", "validation_run_detail"])
+def test_runs_are_not_numbered_in_one_task(spark, name):
+    import __spark_entry__ as E
+    plan = _plan(E.queries()[name](spark, SF01))
+    assert "Window" not in plan and "SinglePartition" not in plan
 
 
 @pytest.mark.parametrize("name", ["hotspots", "risk_amplifiers", "recommendations", "validation_run",

@@ -61,8 +61,6 @@ def test_bucketed_semi_join_equals_naive(spark):
         naive = {p[0] for p in pts if any(math.hypot(p[1] - t[3], p[2] - t[4]) < d for t in tg)}
         got = {r[0] for r in spatial.within_distance(act, hs, max_dist=d).select("incident_id").collect()}
         assert got == naive
-        flags = {r.incident_id for r in spatial.hit_flags(act, hs, max_dist=d).filter("hit").collect()}
-        assert flags == naive
 
 
 def test_nearest_equals_brute_force(spark):
@@ -145,3 +143,75 @@ def test_nearest_without_points_or_targets(spark):
     _, _, points, targets = _scatter(spark, 5, 5, 0.0, 9)
     assert spatial.nearest(points, targets.limit(0)).count() == 0
     assert spatial.nearest(points.limit(0), targets).count() == 0
+
+
+def _km(a, b, c, d):
+    p, q, dl = math.radians(a), math.radians(c), math.radians(d) - math.radians(b)
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(dl / 2) ** 2
+    return 2 * 6371.0088 * math.asin(math.sqrt(min(h, 1.0)))
+
+
+def _around(lat, lon, spread, n, seed):
+    """Points about a place; longitudes spread with the latitude and wrap past 180 or not, as they come."""
+    rng = np.random.default_rng(seed)
+    wide = spread / max(math.cos(math.radians(lat)), 0.01)
+    return [(float(np.clip(lat + a, -90, 90)), float(lon + b)) for a, b in zip(rng.uniform(-spread, spread, n), rng.uniform(-wide, wide, n), strict=True)]
+
+
+@pytest.mark.parametrize(("lat", "lon"), [(60.0, 10.0), (0.0, 180.0), (-65.0, -180.0), (89.7, 30.0), (-90.0, 0.0)])
+def test_great_circle_joins_equal_brute_force(spark, lat, lon):
+    pts = [(k, *p) for k, p in enumerate(_around(lat, lon, 0.5, 150, 1))]
+    # the same places from the other side of the date line
+    tgt = [(f"h{k:03d}", a, b - 360 if k % 2 else b) for k, (a, b) in enumerate(_around(lat, lon, 0.5, 40, 2))]
+    odd = [(1000, None, lon), (1001, lat, None), (1002, 91.0, lon), (1003, float("nan"), lon)]
+    points = spark.createDataFrame(pts + odd, "incident_id long, latitude double, longitude double")
+    targets = spark.createDataFrame([*tgt, ("bad", None, 1.0), ("far", 95.0, lon)], "hotspot_id string, lat double, lon double")
+    for km in (2.0, 15.0, 9000.0):
+        want = {i for i, a, b in pts if any(_km(a, b, x, y) < km for _, x, y in tgt)}
+        got = [r[0] for r in spatial.within_km(points, targets, max_km=km).select("incident_id").collect()]
+        assert sorted(got) == sorted(want)
+        left = [r[0] for r in spatial.within_km(points, targets, max_km=km, how="anti").select("incident_id").collect()]
+        assert sorted(left) == sorted({i for i, *_ in pts + odd} - want)
+    got = {r.incident_id: (r.dist, r.hotspot_id) for r in spatial.nearest(points, targets, metric="great_circle").collect()}
+    assert got.keys() == {i for i, *_ in pts}
+    for i, a, b in pts:
+        d, t = min((round(_km(a, b, x, y), 8), t) for t, x, y in tgt)
+        assert got[i][0] == pytest.approx(d, abs=1e-7) and got[i][1] == t
+
+
+def test_great_circle_targets_are_copied_few_times(spark):
+    targets = spark.range(500).selectExpr("cast(id as string) as hotspot_id", "id * 179.9 / 500 - 89.95 as lat", "id * 7.3 as lon")
+    points = spark.createDataFrame([(1, 0.0, 0.0)], "incident_id long, latitude double, longitude double")
+    far = spatial.nearest_pairs(points, targets, metric="great_circle").count()
+    assert far < 50
+    hits = spatial.within_km(points, targets.limit(0), max_km=1.0)
+    assert hits.count() == 0 and spatial.within_km(points, targets.limit(0), max_km=1.0, how="anti").count() == 1
+
+
+def test_history_of_stamped_runs(spark, tmp_dir):
+    import os
+
+    from vigil.sources import files
+    path = os.path.join(tmp_dir, "history")
+    hs = spark.createDataFrame([("h", 0, 0, 0.0, 0.0, 1.0)], HS)
+    types = spark.createDataFrame([("h", "theft", 1.0)], "hotspot_id string, category string, share double")
+    act = spark.createDataFrame([(1, 0.0, 0.0, "theft"), (2, 9.0, 0.0, "theft")], ACT)
+
+    def run(ts, rows):
+        files.put_validation_run(V.validation_run(hs, types, rows, run_ts=ts), path)
+        series = V.accuracy_series(files.read_validation_runs(spark, path), order="ts", value="spatial_accuracy")
+        return [(r.run_number, str(r.ts)[:10], r.value) for r in series.orderBy("run_number").collect()]
+
+    assert run("2024-01-02 00:00:00", act) == [(1, "2024-01-02", 0.5)]
+    assert run("2024-01-01 00:00:00", act) == [(1, "2024-01-01", 0.5), (2, "2024-01-02", 0.5)]
+    assert run("2024-01-01 00:00:00", act.limit(0)) == [(1, "2024-01-01", 0.0), (2, "2024-01-02", 0.5)]
+
+
+def test_trend_over_many_runs(spark):
+    runs = spark.createDataFrame([(k, (k * 37 % 101) / 101, None if k % 5 == 0 else 0.1) for k in range(300)],
+                                 "run_no long, prediction_accuracy double, false_positive_rate double")
+    got = {r.run_no: (r.value_2_before, r.declining) for r in V.accuracy_trend(runs).collect()}
+    acc = [(k * 37 % 101) / 101 for k in range(300)]
+    assert got == {k: (acc[k - 2], acc[k - 2] > acc[k]) if k > 1 else (None, False) for k in range(300)}
+    fpr = {r.run_no: (r.run_number, r.value) for r in V.fpr_series(runs).collect()}
+    assert fpr == {k: (k + 1, 1.0 if k % 5 == 0 else 0.1) for k in range(300)}

@@ -21,11 +21,18 @@ def euclidean(lat1, lon1, lat2, lon2) -> Column:
 
 
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
-    """Great-circle distance in km; no join uses it."""
+    """Great-circle distance in km."""
     p1, p2 = F.radians(_c(lat1)), F.radians(_c(lat2))
-    dp, dl = p2 - p1, F.radians(_c(lon2)) - F.radians(_c(lon1))
-    a = F.pow(F.sin(dp / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(dl / 2), 2)
-    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(a))
+    sp, sl = F.sin((p2 - p1) / 2), F.sin((F.radians(_c(lon2)) - F.radians(_c(lon1))) / 2)
+    a = sp * sp + F.cos(p1) * F.cos(p2) * sl * sl
+    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+
+
+def earth_point(lat, lon) -> list[Column]:
+    """x, y, z in km on the sphere. The chord between two of them grows with
+    their great-circle distance, at the poles and the date line, too."""
+    p, q = F.radians(_c(lat)), F.radians(_c(lon))
+    return [EARTH_RADIUS_KM * c for c in (F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p))]
 
 
 def truncating_bin(x, size: float) -> Column:
@@ -42,3 +49,8 @@ def valid_point(lat, lon) -> Column:
     """Both coordinates present and not NaN."""
     lat, lon = _c(lat), _c(lon)
     return lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
+
+
+def on_earth(lat, lon) -> Column:
+    """A valid point whose latitude lies between the poles; longitudes wrap."""
+    return valid_point(lat, lon) & F.coalesce(F.abs(_c(lat)) <= 90, F.lit(False)) & F.coalesce(F.abs(_c(lon)) < 1e9, F.lit(False))

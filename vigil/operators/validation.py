@@ -8,23 +8,26 @@ except through bucketed / equi keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil import fixed_values as FV
 from vigil.functions.geo import truncating_bin, valid_point
 from vigil.operators.interventions import validator_effectiveness
-from vigil.operators.spatial import within_distance
+from vigil.operators.sequence import rank_within
+from vigil.operators.spatial import within_distance, within_km
 
 
 def spatial_accuracy(hotspots: DataFrame, actual: DataFrame, *,
-                     max_dist: float = FV.HIT_DISTANCE) -> DataFrame:
+                     max_dist: float = FV.HIT_DISTANCE, max_km: float | None = None) -> DataFrame:
     """Share of actual incidents with a hotspot centre closer than
-    ``max_dist``; incidents without coordinates count but never hit; no
+    ``max_dist`` degrees or, if given, ``max_km`` on the great circle; incidents without coordinates count but never hit; no
     hotspots (or no incidents) gives 0.0. Hits come from a semi join, which
     the adaptive planner can split where a bucket is hot."""
     points = actual.select("latitude", "longitude")
-    hits = within_distance(points, hotspots.select("lat", "lon"), max_dist=max_dist).agg(F.count("*")).scalar()
+    centres = hotspots.select("lat", "lon")
+    met = within_distance(points, centres, max_dist=max_dist) if max_km is None else within_km(points, centres, max_km=max_km)
+    hits = met.agg(F.count("*")).scalar()
     return points.agg(F.when(F.count("*") > 0, hits / F.count("*")).otherwise(F.lit(0.0))
                       .alias("spatial_accuracy"))
 
@@ -244,35 +247,35 @@ def effectiveness_quartiles(results: DataFrame, id_col: str = "intervention_id")
 
 # ---------------------------------------------------------------- history
 
+def numbered_runs(runs: DataFrame, order: str) -> DataFrame:
+    """``run_number`` 1..n in run order, from range partitions and their sizes:
+    no task sees the whole history."""
+    return rank_within(runs.withColumn("_all", F.lit(0)), "_all", [order], out="run_number").drop("_all")
+
+
 def accuracy_series(runs: DataFrame, *, order: str = "run_no", value: str = "prediction_accuracy",
                     threshold: float = FV.ACCURACY_THRESHOLD) -> DataFrame:
-    """Run number (1..n in run order), value, threshold, below-threshold flag.
-
-    The validation history holds one row per run (small by construction),
-    so numbering it with an unpartitioned window is bounded.
-    """
-    w = Window.orderBy(order)
-    return runs.select(F.row_number().over(w).cast("bigint").alias("run_number"), order,
-                       F.col(value).alias("value"), F.lit(threshold).alias("threshold"),
-                       (F.col(value) <= F.lit(threshold)).alias("below_threshold"))
+    """Run number (1..n in run order), value, threshold, below-threshold flag."""
+    return numbered_runs(runs, order).select("run_number", order, F.col(value).alias("value"), F.lit(threshold).alias("threshold"),
+                                             (F.col(value) <= F.lit(threshold)).alias("below_threshold"))
 
 
 def fpr_series(runs: DataFrame, *, order: str = "run_no",
                threshold: float = FV.FPR_THRESHOLD) -> DataFrame:
     """FPR per run (missing = 1.0), threshold and breach flag."""
-    w = Window.orderBy(order)
     v = F.coalesce(F.col("false_positive_rate"), F.lit(1.0))
-    return runs.select(F.row_number().over(w).cast("bigint").alias("run_number"), order, v.alias("value"),
-                       F.lit(threshold).alias("threshold"), (v > F.lit(threshold)).alias("breach"))
+    return numbered_runs(runs, order).select("run_number", order, v.alias("value"),
+                                             F.lit(threshold).alias("threshold"), (v > F.lit(threshold)).alias("breach"))
 
 
 def accuracy_trend(runs: DataFrame, *, order: str = "run_no",
                    value: str = "prediction_accuracy") -> DataFrame:
-    """Per run: the value two runs earlier and whether it was higher."""
-    w = Window.orderBy(order)
-    prev = F.lag(value, 2).over(w)
-    return runs.select(order, F.col(value).alias("value"), prev.alias("value_2_before"),
-                       F.coalesce(prev > F.col(value), F.lit(False)).alias("declining"))
+    """Per run: the value two runs earlier (met by its number) and whether it was higher."""
+    now = numbered_runs(runs, order)
+    before = now.select((F.col("run_number") + 2).alias("run_number"), F.col(value).alias("value_2_before"))
+    return now.join(before, "run_number", "left").select(
+        order, F.col(value).alias("value"), "value_2_before",
+        F.coalesce(F.col("value_2_before") > F.col(value), F.lit(False)).alias("declining"))
 
 
 def validation_flags(runs: DataFrame) -> DataFrame:
@@ -324,11 +327,10 @@ def model_performance_log(metrics: DataFrame, model_name: str, *, ts: str = "ts"
 
 def validation_run_detail(runs: DataFrame, *, order: str = "run_no") -> DataFrame:
     """Per run: number (1..n in run order), label ``Validation Run #n - id``
-    and the metrics as two-decimal text; the history holds one row per run."""
-    w = Window.orderBy(order)
-    n = F.row_number().over(w).cast("bigint")
-    return runs.select(n.alias("run_number"), order,
-                       F.concat(F.lit("Validation Run #"), n.cast("string"), F.lit(" - "),
-                                F.col(order).cast("string")).alias("label"),
-                       _fmt2(F.col("prediction_accuracy")).alias("accuracy_text"),
-                       _fmt2(F.col("false_positive_rate")).alias("false_positive_rate_text"))
+    and the metrics as two-decimal text."""
+    return numbered_runs(runs, order).select(
+        "run_number", order,
+        F.concat(F.lit("Validation Run #"), F.col("run_number").cast("string"), F.lit(" - "),
+                 F.col(order).cast("string")).alias("label"),
+        _fmt2(F.col("prediction_accuracy")).alias("accuracy_text"),
+        _fmt2(F.col("false_positive_rate")).alias("false_positive_rate_text"))

@@ -7,6 +7,8 @@ the incidents from that day on. The DuckDB oracles use brute-force pairs
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vigil.functions.numeric import round6
@@ -14,10 +16,16 @@ from vigil.operators import grid, spatial
 from vigil.operators import validation as V
 from vigil.plans.registry import query
 from vigil.plans.sql_bindings import ACTUAL, FOLLOW_UP, TRAIN, VALIDATION_HISTORY, hotspot_sql
+from vigil.session import checkpoint_dir
 from vigil.sources import bindings as B
+from vigil.sources import files
 
 TRAIN_AS_OF = "2024-01-24"
 FINE = 0.005
+#: Of the great-circle queries, in km.
+HIT_KM = 0.4
+#: Days whose runs the stored history holds.
+RUN_DAYS = ("2024-01-23", TRAIN_AS_OF)
 
 _BASE = f"""with {hotspot_sql(TRAIN, as_of=TRAIN_AS_OF)},
 act as ({ACTUAL}),
@@ -101,6 +109,35 @@ def q_nearest(spark, sf):
     return n.select("incident_id", "hotspot_id", F.round("dist", 9).alias("dist"))
 
 
+_KM = """round(2*6371.0088e0*asin(sqrt(least(sin((radians(h.lat) - radians(a.latitude))/2)*sin((radians(h.lat) - radians(a.latitude))/2)
+  + cos(radians(a.latitude))*cos(radians(h.lat))
+  * sin((radians(h.lon) - radians(a.longitude))/2)*sin((radians(h.lon) - radians(a.longitude))/2), 1e0))), 9)"""
+
+
+@query("great_circle_hits", f"{_BASE} select distinct a.incident_id from act a join hs h on {_KM} < {HIT_KM}e0")
+def q_km_hits(spark, sf):
+    hs, _, act = _split(spark, sf)
+    return spatial.within_km(act, hs, max_km=HIT_KM).select("incident_id")
+
+
+@query("great_circle_accuracy", f"""{_BASE}, hits as (select distinct a.incident_id from act a join hs h on {_KM} < {HIT_KM}e0)
+select case when (select count(*) from hs) > 0 and (select count(*) from act) > 0
+       then (select count(*) from hits)*1e0/(select count(*) from act) else 0e0 end as spatial_accuracy""")
+def q_km_accuracy(spark, sf):
+    hs, _, act = _split(spark, sf)
+    return V.spatial_accuracy(hs, act, max_km=HIT_KM)
+
+
+@query("nearest_hotspot_km", f"""{_BASE} select incident_id, hotspot_id, round(km, 6) as km from (
+select incident_id, hotspot_id, km, row_number() over (partition by incident_id order by km, hotspot_id) as rn from (
+select a.incident_id, h.hotspot_id, {_KM} as km from act a cross join hs h
+where a.latitude is not null and a.longitude is not null) y) z where rn = 1""")
+def q_nearest_km(spark, sf):
+    hs, _, act = _split(spark, sf)
+    n = spatial.nearest(act, hs, metric="great_circle")
+    return n.select("incident_id", "hotspot_id", round6("dist").alias("km"))
+
+
 @query("predicted_type_mass", f"""{_BASE} select category, round(predicted, 6) as mass,
 round(predicted/(select sum(predicted) from pm), 6) as normalised from pm""")
 def q_type_mass(spark, sf):
@@ -174,6 +211,24 @@ def q_validation_run(spark, sf):
                                                    "overall_accuracy")], "passed")
 
 
+def _stored_sql(day: str) -> str:
+    return f"select '{day}' as run, overall_accuracy as value from ({_RUN_SQL.replace(TRAIN_AS_OF, day)}) r_{day[-2:]}"
+
+
+@query("stored_accuracy_series", f"""select row_number() over (order by run) as run_number, run, value,
+0.7e0 as threshold, value <= 0.7e0 as below_threshold from ({' union all '.join(map(_stored_sql, RUN_DAYS))}) runs""")
+def q_stored_series(spark, sf):
+    """Each day's run is stamped, put into the history and read back from it."""
+    history = f"{checkpoint_dir(spark).rstrip('/')}/history/{uuid.uuid4().hex}"
+    for day in RUN_DAYS:
+        train, actual = B.train_actual(spark, sf, day)
+        hs, types = grid.hotspot_frames(train, as_of=day)
+        files.put_validation_run(V.validation_run(hs, types, actual, run_ts=f"{day} 00:00:00"), history)
+    series = V.accuracy_series(files.read_validation_runs(spark, history), order="ts", value="overall_accuracy")
+    return series.select("run_number", F.date_format("ts", "yyyy-MM-dd").alias("run"), round6("value").alias("value"),
+                         "threshold", "below_threshold")
+
+
 @query("overall_accuracy", f"""{_RUN_SQL.rsplit('select round(s, 6)', 1)[0]} select
 round(0.4e0*s + 0.3e0*t + 0.2e0*c + 0.1e0*(1e0 - f), 6) as overall_accuracy from m""")
 def q_overall(spark, sf):

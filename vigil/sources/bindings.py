@@ -55,10 +55,10 @@ def incidents_from(e: DataFrame, nation: DataFrame, with_source: bool = True) ->
     return (e.join(n, n.n_nationkey == e.user_id % 25, "inner").select(*cols))
 
 
-def train_actual(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def train_actual(spark: SparkSession, sf_dir: str, cutoff: str = TRAIN_CUTOFF) -> tuple[DataFrame, DataFrame]:
     """Time split: hotspots are built on *train*, validated on *actual*."""
     inc = incidents(spark, sf_dir)
-    cut = F.lit(TRAIN_CUTOFF).cast("timestamp")
+    cut = F.lit(cutoff).cast("timestamp")
     return inc.filter(F.col("date") < cut), inc.filter(F.col("date") >= cut)
 
 

@@ -129,8 +129,15 @@ def append_validation_runs(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def put_validation_run(df: DataFrame, path: str) -> None:
+    """A history with one folder a run, named after its ``ts``: writing a run
+    again replaces it and leaves the others alone."""
+    (df.withColumn("run", F.date_format("ts", "yyyyMMddHHmmss")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path))
+
+
 def read_validation_runs(spark: SparkSession, path: str) -> DataFrame:
-    return _log(spark, path, VALIDATION_RUN_SCHEMA)
+    return _log(spark, path, VALIDATION_RUN_SCHEMA).select(VALIDATION_RUN_SCHEMA.names)
 
 
 def land_articles(df: DataFrame, path: str) -> None:
