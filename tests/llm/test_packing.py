@@ -7,6 +7,7 @@ import pandas as pd
 import public_tokenizers as P
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vigil.llm import packing
@@ -95,3 +96,14 @@ def test_ids_of_odd_words_are_the_tokenizers():
         text = "".join(rng.choices(signs, k=rng.randint(0, 14)))
         want = np.array(MODEL.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         assert words.encode([text]) == [want], text
+
+
+def test_pieces_of_one_id_spread_over_the_shards(spark):
+    rows = [(None, 0, 100)] * 1500 + [(7, 0, 100)] * 1500
+    pieces = spark.createDataFrame(rows, "doc_id long, start long, length long")
+    got = packing.pack(pieces.repartition(3), shard_pieces=100).toPandas()
+    assert len(got) == 3000 and got["length"].sum() == 300_000
+    shards = (got["sequence_id"] // 2 ** 32).value_counts()
+    assert len(shards) == 30 and shards.max() < 200
+    named = packing.pack(pieces.withColumn("_metadata", F.lit("own")), shard_pieces=100)
+    assert named.where("_metadata = 'own'").count() == 3000

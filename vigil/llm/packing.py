@@ -237,11 +237,14 @@ def minimum_bin_slack(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.
 def pack(pieces: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Adds sequence_id and offset to a table with doc_id, start, length (at
     most ``window``); its other columns are carried.  Shards are dealt by a
-    hash of (doc_id, start); within one, windows are numbered from
+    hash of a row's place in the staged table, so rows without an id, or of one
+    id, spread over all of them; within one, windows are numbered from
     shard * 2**32."""
     table = stage(pieces, "pack-pieces")
     shards = max(1, math.ceil(table.count() / shard_pieces))
-    dealt = table.withColumn("_vg_shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
+    at = table.metadataColumn("_metadata")
+    place = F.xxhash64(F.regexp_extract(at["file_name"], r"part-(\d+)", 1), at["row_index"])
+    dealt = table.withColumn("_vg_shard", F.pmod(place, F.lit(shards)))
     names = table.columns
 
     def fill(key, frame: pd.DataFrame) -> pd.DataFrame:
