@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,17 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_each(frames: Iterable[DataFrame], tag: str) -> DataFrame:
+    """``stage`` for the union of frames of one schema (one at least), written
+    one after another: only one frame's shuffle files exist at a time."""
+    paths = []
+    for df in frames:
+        paths.append(scratch_path(df.sparkSession, tag))
+        df.write.parquet(paths[-1])
+        tidy(df.sparkSession)
+    return df.sparkSession.read.schema(df.schema).parquet(*paths)
+
+
 def discard(staged: DataFrame) -> None:
     """Delete a staged table that no later step reads, and let Spark drop the
     shuffle files of the steps before: bounds the scratch space."""
