@@ -159,6 +159,17 @@ def test_classifier_beats_majority_on_planted_signal(spark):
         assert acc > 0.9
 
 
+def test_split_follows_the_id_alone(spark):
+    import hashlib
+    df = spark.range(2000).withColumnRenamed("id", "incident_id")
+    df = df.unionByName(spark.createDataFrame([(None,), (7,)], "incident_id long"))
+    train, test = M.hash_split(df.repartition(5))
+    kept = [r[0] for r in train.collect()]
+    want = [k for k in [*range(2000), 7] if int(hashlib.md5(f"42:{k}".encode()).hexdigest()[:8], 16) % 100 < 80]
+    assert sorted(k for k in kept if k is not None) == sorted(want) and None in kept
+    assert len(kept) + test.count() == 2002
+
+
 def test_transfer_stages_and_model_roundtrip(spark, tmp_dir):
     import datetime as dt
     rows = [(k, dt.datetime(2024, 1, 1 + k % 20, k % 24), "murder" if k % 3 else "theft", "P", 1.0 + k % 7, 2.0, "s")

@@ -44,8 +44,10 @@ def feature_frame(df: DataFrame, id_col: str = "incident_id", ts: str = "date")
 
 def hash_split(df: DataFrame, id_col: str = "incident_id", train_pct: int = 80,
                seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Reproducible split independent of partitioning (unlike randomSplit)."""
-    b = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(100))
+    """Reproducible split independent of partitioning (unlike randomSplit): the
+    first 32 bits of the md5 of ``seed:id``, modulo 100; rows without an id train."""
+    digits = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
+    b = F.coalesce(F.conv(F.substring(digits, 1, 8), 16, 10).cast("long") % 100, F.lit(0))
     return df.filter(b < train_pct), df.filter(b >= train_pct)
 
 

@@ -63,7 +63,9 @@ def q_scaled(spark, sf):
     return s.select("incident_id", *[round6(c).alias(c) for c in _SCALE_COLS])
 
 
-@query("train_test_split")
+@query("train_test_split", f"""{_W} select incident_id,
+case when cast('0x' || substr(md5('42:' || cast(incident_id as varchar)), 1, 8) as bigint) % 100 < 80
+     then 'train' else 'test' end as part from inc""")
 def q_split(spark, sf):
     train, test = M.hash_split(M.feature_frame(_inc(spark, sf)))
     return (train.select("incident_id", F.lit("train").alias("part"))
