@@ -183,33 +183,40 @@ def _celled(pts: DataFrame, tgt: DataFrame, axes: int, size: float, slack: float
     return pts, tgt, candidate_cells(pts.groupBy(*p).agg(*_box(x, "pl", "ph")), leaves, depth, slack)
 
 
-def nearest_pairs(points: DataFrame, targets: DataFrame, *, id_col: str = "incident_id", target_id: str = "hotspot_id",
-                  lat: str = "latitude", lon: str = "longitude", t_lat: str = "lat", t_lon: str = "lon",
-                  size: float | None = None, metric: str = "planar") -> DataFrame:
-    """``id, target_id, dist`` of every point and every target of its candidate
-    cells; the nearest target is among them."""
+def _searched(points: DataFrame, targets: DataFrame, id_col: str, target_id: str, lat: str, lon: str, t_lat: str, t_lon: str,
+              size: float | None, metric: str):
+    """Points and targets with their cells, the candidate cells (None without
+    targets), the number of axes and the distance to a target at (lat, lon)."""
     assert metric in ("planar", "great_circle")
     p_at = [F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon")]
     t_at = [F.col(t_lat).cast("double").alias("_tlat"), F.col(t_lon).cast("double").alias("_tlon")]
     if metric == "planar":
         valid, axes, of, slack = valid_point, 2, lambda a, b: [F.col(a), F.col(b)], 1e-12
-        dist = euclidean("_lat", "_lon", "_tlat", "_tlon")
+        dist = lambda a, b: euclidean("_lat", "_lon", a, b)
         size = size or FV.HIT_DISTANCE
     else:
         valid, axes, of, slack = on_earth, 3, earth_point, 1e-8
         # equal to the micrometre is equal
-        dist = F.round(haversine_km("_lat", "_lon", "_tlat", "_tlon"), 9)
+        dist = lambda a, b: F.round(haversine_km("_lat", "_lon", a, b), 9)
         size = size or CELL_KM
     pts = points.select(id_col, *p_at).filter(valid("_lat", "_lon"))
     pts = pts.select("*", *[c.alias(n) for c, n in zip(of("_lat", "_lon"), _names("x", axes), strict=True)])
     tgt = targets.select(target_id, *t_at).filter(valid("_tlat", "_tlon"))
     tgt = tgt.select("*", *[c.alias(n) for c, n in zip(of("_tlat", "_tlon"), _names("y", axes), strict=True)])
-    pts, tgt, cells = _celled(pts, tgt, axes, size, slack)
+    return *_celled(pts, tgt, axes, size, slack), axes, dist
+
+
+def nearest_pairs(points: DataFrame, targets: DataFrame, *, id_col: str = "incident_id", target_id: str = "hotspot_id",
+                  lat: str = "latitude", lon: str = "longitude", t_lat: str = "lat", t_lon: str = "lon",
+                  size: float | None = None, metric: str = "planar") -> DataFrame:
+    """``id, target_id, dist`` of every point and every target of its candidate
+    cells; the nearest target is among them."""
+    pts, tgt, cells, axes, dist = _searched(points, targets, id_col, target_id, lat, lon, t_lat, t_lon, size, metric)
     if cells is None:
         none = F.lit(None).cast(tgt.schema[target_id].dataType)
         return pts.select(id_col, none.alias(target_id), F.lit(0.0).alias("dist")).filter(F.lit(False))
     return (pts.join(materialize(cells), _names("p", axes)).join(tgt, _names("t", axes))
-            .select(id_col, target_id, dist.alias("dist")))
+            .select(id_col, target_id, dist("_tlat", "_tlon").alias("dist")))
 
 
 def nearest(points: DataFrame, targets: DataFrame, *, id_col: str = "incident_id",
@@ -221,10 +228,16 @@ def nearest(points: DataFrame, targets: DataFrame, *, id_col: str = "incident_id
 
     Points and targets are put into cells of ``base``; only the targets of a
     point cell's candidate cells are measured, however far away they lie, so
-    the work follows the points, not points times targets.
+    the work follows the points, not points times targets. A cell's targets
+    travel as one array: a point has a row for each candidate cell, which
+    holds the best of it, not one for each target.
     """
-    best = F.struct("dist", target_id)
-    return (nearest_pairs(points, targets, id_col=id_col, target_id=target_id, lat=lat, lon=lon, t_lat=t_lat, t_lon=t_lon,
-                          size=base, metric=metric)
-            .groupBy(id_col).agg(F.min(best).alias("m"))
-            .select(id_col, F.col(f"m.{target_id}").alias(target_id), F.col("m.dist").alias("dist")))
+    pts, tgt, cells, axes, dist = _searched(points, targets, id_col, target_id, lat, lon, t_lat, t_lon, base, metric)
+    if cells is None:
+        none = F.lit(None).cast(tgt.schema[target_id].dataType)
+        return pts.select(id_col, none.alias(target_id), F.lit(0.0).alias("dist")).filter(F.lit(False))
+    held = tgt.groupBy(*_names("t", axes)).agg(F.collect_list(F.struct(F.col(target_id).alias("id"), "_tlat", "_tlon")).alias("_targets"))
+    best = F.array_min(F.transform("_targets", lambda t: F.struct(dist(t["_tlat"], t["_tlon"]).alias("dist"), t["id"].alias("id"))))
+    return (pts.join(materialize(cells.join(held, _names("t", axes))), _names("p", axes))
+            .select(id_col, best.alias("m")).groupBy(id_col).agg(F.min("m").alias("m"))
+            .select(id_col, F.col("m.id").alias(target_id), F.col("m.dist").alias("dist")))
