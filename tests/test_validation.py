@@ -215,3 +215,12 @@ def test_trend_over_many_runs(spark):
     assert got == {k: (acc[k - 2], acc[k - 2] > acc[k]) if k > 1 else (None, False) for k in range(300)}
     fpr = {r.run_no: (r.run_number, r.value) for r in V.fpr_series(runs).collect()}
     assert fpr == {k: (k + 1, 1.0 if k % 5 == 0 else 0.1) for k in range(300)}
+
+
+@pytest.mark.parametrize("metric", ["planar", "great_circle"])
+def test_nearest_aggregates_a_row_for_each_cell_not_each_target(spark, metric):
+    points = spark.createDataFrame([(1, 40.001, 0.001), (1, 40.001, 0.001), (2, 41.0, 0.0)], "incident_id long, latitude double, longitude double")
+    targets = spark.createDataFrame([(f"h{k:03d}", 40.0 + k * 1e-5, 0.0) for k in range(200)], "hotspot_id string, lat double, lon double")
+    near = spatial.nearest(points, targets, metric=metric)
+    assert "array_min" in near._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.incident_id: r.hotspot_id for r in near.collect()} == {1: "h100", 2: "h199"}
